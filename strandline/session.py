@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,17 +31,40 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+    """Write ``df`` as a table to the shared checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session
-    without that setting (tests, a notebook) gets a folder of its own.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session without that
+    setting (tests, a notebook) gets a folder of its own. A written table is compressed, its columns
+    are read as needed and its size is known to the planner; ``release`` or the end of the process
+    removes it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="strandline-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/strandline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Remove the tables written by ``cut``; results that still read them must not be used any more."""
+    while _WRITTEN:
+        path, spark = _WRITTEN.popitem()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: the folder's owner cleans up
+            continue
+
+
+atexit.register(release)
 
 
 def parallelism(spark: SparkSession) -> int:
