@@ -24,31 +24,49 @@ def log_likelihood(k11: Column, row: Column, column: Column, total: Column) -> C
     return F.when(k11 * total >= row * column, g2).otherwise(-g2)
 
 
-def term_scores(postings: DataFrame, record: str = "url_hash", term: str = "word", weight: str = "weight") -> DataFrame:
-    """``record, term, weight, n_terms, score``: how strongly each term marks out its record.
+def _packed(key: Column) -> Column:
+    """A key as bytes: the digits of a lower-case hexadecimal digest two to a byte, anything else as it is, told apart by the first byte."""
+    text = key.cast("string")
+    return F.when(F.regexp_like(text, F.lit("^([0-9a-f]{2}){8,}$")), F.concat(F.unhex(F.lit("00")), F.unhex(text))).otherwise(F.concat(F.unhex(F.lit("01")), text.cast("binary")))
 
-    The contingency table compares the term's weight in the record with its weight in all other
-    records. A null weight counts as 0; rows with null record or term are ignored; of repeated
-    rows of a term in a record the heaviest counts. A collection without any weight gives score 0.
-    Other columns are ignored, whatever their names; an empty table gives an empty result.
-    Terms and records that own a large share of the rows are salted in both look-ups.
-    """
+
+def _unpacked(key: Column) -> Column:
+    rest = F.substr(key, F.lit(2), F.length(key))
+    return F.when(F.startswith(F.hex(key), F.lit("00")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
+def _scores(postings: DataFrame, record: str, term: str, weight: str) -> DataFrame:
+    n = postings.count()  # steers the salting only
     cells = (
-        postings.select(F.col(record).alias("_r"), F.col(term).alias("_t"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("_w"))
+        postings.select(_packed(F.col(record)).alias("_r"), F.col(term).alias("_t"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("_w"))
         .where("_r is not null and _t is not null")
         .groupBy("_r", "_t")
         .agg(F.max("_w").alias("_w"))
     )
     terms = cells.groupBy("_t").agg(F.sum("_w").alias("_column"), F.count(F.lit(1)).alias("n_rows"))
-    records = cells.groupBy("_r").agg(F.sum("_w").alias("_row"), F.count(F.lit(1)).alias("n_rows"), F.count(F.lit(1)).alias("n_terms"))
-    total = records.agg(F.sum("_row")).scalar()
-    known = salted_lookup(cells, terms, "_t", ["_r"])
-    known = salted_lookup(known, records, "_r", ["_t"])
+    records = cells.groupBy("_r").agg(F.sum("_w").alias("_row"), F.count(F.lit(1)).alias("n_rows")).withColumn("n_terms", F.col("n_rows"))
+    total = cells.agg(F.sum("_w")).scalar()
+    known = salted_lookup(cells, terms, "_t", ["_r"], total=n)
+    known = salted_lookup(known, records, "_r", ["_t"], total=n)
     score = F.round(F.coalesce(F.when(total > 0, log_likelihood(F.col("_w"), F.col("_row"), F.col("_column"), total)), F.lit(0.0)), 6) + 0.0  # no negative zero
     return known.select(F.col("_r").alias(record), F.col("_t").alias(term), F.col("_w").alias(weight), "n_terms", score.alias("score"))
 
 
-def best_terms(scores: DataFrame, record: str = "url_hash", term: str = "word", least_terms: int = 8) -> DataFrame:
-    """``record, term`` with the highest score (then the smallest term) of records with enough terms."""
-    ties = scores.where(F.col("n_terms") >= least_terms).groupBy(record, "score").agg(F.min(term).alias(term))
-    return ties.groupBy(record).agg(F.max_by(term, "score").alias(term))
+def term_scores(postings: DataFrame, record: str = "url_hash", term: str = "word", weight: str = "weight") -> DataFrame:
+    """``record, term, weight, n_terms, score``: how strongly each term marks out its record.
+
+    The contingency table compares the term's weight in the record with its weight in all other
+    records. A null weight counts as 0; rows with null record or term are ignored; of repeated
+    rows of a term in a record the heaviest counts. A collection without any weight gives score 0.
+    Other columns are ignored, whatever their names; an empty table gives an empty result.
+    Terms and records that own a large share of the rows are salted in both look-ups.
+    """
+    scored = _scores(postings, record, term, weight)
+    return scored.withColumn(record, _unpacked(F.col(record)))
+
+
+def best_terms(postings: DataFrame, record: str = "url_hash", term: str = "word", weight: str = "weight", least_terms: int = 8) -> DataFrame:
+    """``record, term``: the highest score, then the smallest term, of records with at least ``least_terms`` terms."""
+    scored = _scores(postings, record, term, weight).where(F.col("n_terms") >= least_terms)
+    best = scored.groupBy(record).agg(F.min(F.struct((-F.col("score")).alias("s"), term)).alias("b"))
+    return best.select(_unpacked(F.col(record)).alias(record), F.col(f"b.{term}").alias(term))

@@ -10,7 +10,7 @@ from strandline.session import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return distinctive.best_terms(distinctive.term_scores(table(spark, folder, "postings")))
+    return distinctive.best_terms(table(spark, folder, "postings"))
 
 
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
