@@ -117,6 +117,9 @@ def answers(rows: DataFrame, *, error: float = 1e-3, first_layer: int = 1 << 12,
         combined.where("not known")
         .select("table_name", "record_id", "key", "h", F.pmod(F.col("h"), F.lit(shards)).cast("int").alias("shard"))
         .repartition(partitions, "shard")
+        .groupBy("shard", "record_id", "table_name", "key", "h")  # repeated rows meet where they are
+        .agg(F.lit(None).alias("_"))
+        .select("table_name", "record_id", "key", "h", "shard")
         .sortWithinPartitions("shard", "record_id")
     )
     return cut(asked.mapInArrow(_answer(error, first_layer), _ANSWERED)), combined.where("known").select("table_name", "record_id")
