@@ -151,6 +151,20 @@ def ready(frontier: DataFrame, hosts: DataFrame, now: Column) -> DataFrame:
     return frontier.join(known, "host", "left").withColumn("ready", ~F.coalesce(wait & (F.col("crawl_delay") > 0), F.lit(False))).drop("crawl_delay", "last_visited")
 
 
+def passing_links(outlinks: DataFrame, hosts: DataFrame, now: Column) -> DataFrame:
+    """``url, link``: the cleaned links of each page whose host's delay has passed at ``now``."""
+    links = outlinks.select("url", F.explode(U.clean_links(F.col("links"))).alias("link"))
+    marked = ready(links.withColumn("host", U.host(F.col("link"))), hosts, now)
+    return marked.where("ready").select("url", "link")
+
+
+def record(links: DataFrame, robots: DataFrame, frontier: DataFrame, visited: DataFrame | None = None) -> DataFrame:
+    """``url`` of new entries for the frontier: allowed by the robots rules and not queued yet."""
+    candidates = links.where("link is not null").select(F.col("link").alias("url")).distinct()
+    good = check_robots(candidates, robots, visited).where("allowed").select("url")
+    return good.join(frontier.select("url"), "url", "left_anti")
+
+
 def crawl(pages: DataFrame, seeds: DataFrame, links_of: Callable[[DataFrame], DataFrame], allow: Callable[[DataFrame], DataFrame], max_rounds: int = 20) -> DataFrame:
     """``url, round``: pages reached from ``seeds`` by breadth-first rounds over stored ``pages``.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text as T
+from strandline.operators.skew import salted_lookup
 
 
 def page_terms(elements: DataFrame, dictionaries: dict[int, DataFrame] | None = None, doc: str = "page_id") -> DataFrame:
@@ -50,6 +51,11 @@ def document_frequency(postings: DataFrame, word: str = "word", doc: str = "url_
     return postings.where(F.col(word).isNotNull()).select(word, doc).distinct().groupBy(word).agg(F.count(doc).alias("df"))
 
 
+def document_count_lines(df: DataFrame, word: str = "word") -> DataFrame:
+    """Text lines ``keyword: w, DOC countS: n`` of the first index version."""
+    return df.select(F.format_string("keyword: %s, DOC countS: %s", F.col(word), F.col("df")).alias("value"))
+
+
 def inverse_frequency(df: DataFrame, n_docs: Column | int) -> DataFrame:
     """``df`` with ``idf = log10(n_docs / df)`` (6 digits)."""
     return df.withColumn("idf", F.round(F.log10((n_docs if isinstance(n_docs, Column) else F.lit(n_docs)) / F.col("df")), 6))
@@ -57,8 +63,6 @@ def inverse_frequency(df: DataFrame, n_docs: Column | int) -> DataFrame:
 
 def tfidf(postings: DataFrame, idf: DataFrame, tf: str, word: str = "word") -> DataFrame:
     """``postings`` with ``tfidf = tf * idf`` (9 digits); hot words are salted."""
-    from strandline.operators.skew import salted_lookup
-
     facts = idf.select(word, "idf", F.col("df").alias("n_rows"))
     spread = [c for c in postings.columns if c != word][:2]
     return salted_lookup(postings, facts, word, spread).withColumn("tfidf", F.round(F.col(tf) * F.col("idf"), 9))

@@ -193,6 +193,11 @@ def doc_freq(spark, folder):
     return index.document_frequency(_postings(spark, folder))
 
 
+@_query(f"WITH {_IDF_SQL} SELECT 'keyword: ' || word || ', DOC countS: ' || df AS value FROM df")
+def doc_count_lines(spark, folder):
+    return index.document_count_lines(index.document_frequency(_postings(spark, folder)))
+
+
 def _idf(spark, folder):
     postings = _postings(spark, folder)
     n_docs = postings.select("url_hash").distinct().agg(F.count(F.lit(1))).scalar()
@@ -272,6 +277,17 @@ def outlinks(spark, folder):
     return rows.groupBy("outlink_id", "link").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query(
+    f"""WITH x AS (SELECT unnest(links) AS l FROM out_links), c AS (SELECT DISTINCT {_LINK_SQL} AS url FROM x WHERE l IS NOT NULL AND NOT starts_with(trim(l, ' '), 'mailto'))
+SELECT url FROM c WHERE length(trim(url, ' ')) >= 8 AND regexp_matches(trim(url, ' '), '^https?://[^/]') AND NOT contains(regexp_extract(trim(url, ' '), '^https?://([^/:]*)', 1), 'wiki')
+  AND url NOT IN (SELECT url FROM frontier_urls WHERE url IS NOT NULL)"""
+)
+def record_links(spark, folder):
+    links = table(spark, folder, "out_links").select(F.explode(U.clean_links(F.col("links"))).alias("link"))
+    none = spark.createDataFrame([], "host string, allow array<string>, disallow array<string>")
+    return crawl.record(links, none, table(spark, folder, "frontier_urls").where("url is not null"))
+
+
 @_query(f"WITH {_FIRST_SQL} SELECT url, array_to_string(links, ' ') AS links FROM f")
 def first_outlinks(spark, folder):
     return _first_links(spark, folder).select("url", F.array_join("links", " ").alias("links"))

@@ -239,3 +239,31 @@ def test_text_codecs(spark, tmp_path):
     new = spark.createDataFrame([("k", 2, "new")], "k string, v int, x string")
     old = spark.createDataFrame([("k", 1, "old"), ("j", 1, "one")], "k string, v int, x string")
     assert {tuple(r) for r in files.upsert(old, new, ["k"], "v").select("k", "v", "x").collect()} == {("k", 2, "new"), ("j", 1, "one")}
+
+
+def test_spouts(spark):
+    from strandline.sources.spouts import read_spout
+
+    class Numbers:
+        def open(self, part, parts):
+            self.part, self.parts = part, parts
+
+        def next_rows(self):
+            for i in range(self.part, 10, self.parts):
+                yield (i, f"n{i}")
+
+        def close(self):
+            pass
+
+    assert sorted(r["k"] for r in read_spout(spark, Numbers, "k int, v string", parts=3).collect()) == list(range(10))
+
+
+def test_recording_links(spark):
+    robots = spark.createDataFrame([("h", [], ["/no"])], "host string, allow array<string>, disallow array<string>")
+    links = spark.createDataFrame([("http://h/no",), ("http://h/yes",), ("http://h/old",), (None,)], "link string")
+    queue = spark.createDataFrame([("http://h/old",)], "url string")
+    assert [r["url"] for r in crawl.record(links, robots, queue).collect()] == ["http://h/yes"]
+    pages = spark.createDataFrame([("u", ["http://h/a", "mailto:x", "http://g/b"])], "url string, links array<string>")
+    hosts = spark.createDataFrame([("h", 10, dt.datetime(2022, 1, 1))], "host string, crawl_delay int, last_visited timestamp")
+    got = crawl.passing_links(pages, hosts, F.lit(dt.datetime(2022, 1, 1, 0, 0, 5)))
+    assert [r["link"] for r in got.collect()] == ["http://g/b"]
