@@ -27,7 +27,14 @@ def session(cores: str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of ``folder``. Python workers are told where this package lies, in case it isn't installed."""
+    environment = spark.sparkContext.environment
+    if _ROOT not in (now := environment.get("PYTHONPATH", "")).split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (now, _ROOT)))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
