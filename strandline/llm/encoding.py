@@ -9,10 +9,9 @@ bigrams of the corpus' clean text finds it, with a prior over keys learned per s
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
@@ -37,6 +36,7 @@ PAGES_READ_AS = (
     ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp852", "cp1250"), ("cp1250", "cp852"),
     ("cp1252", "shift_jis"), ("cp1252", "euc_jp"),
 )
+WIDE = ("shift_jis", "euc_jp")
 LOST = "lost"
 _ENTITY = re.compile(r"&(?:#\d{2,7}|#x[0-9A-Fa-f]{2,6}|[A-Za-z]{2,8}\d{0,2});")
 
@@ -123,8 +123,15 @@ def translation(read_as: str, written_in: str) -> dict[int, str]:
     return {ord(c): chars[b] for c, b in back.items() if b > 127 and chars[b] != c and ord(c) > 127}
 
 
+@cache
+def _wide_run() -> re.Pattern:
+    """Where Japanese text read as cp1252 may stand: four letters of its upper half or more, at most one ASCII sign between."""
+    upper = "".join(re.escape(c) for c, b in _page("cp1252")[0].items() if b > 127)
+    return re.compile(f"(?:[{upper}][^\\n ]?){{4,}}")
+
+
 def _apply_page(line: str, key: tuple[str, str]) -> str | None:
-    if key[1] not in ("shift_jis", "euc_jp"):
+    if key[1] not in WIDE:
         return line.translate(translation(*key))
     back, _ = _page(key[0])
 
@@ -135,7 +142,7 @@ def _apply_page(line: str, key: tuple[str, str]) -> str | None:
             return m.group()
         return text if all(ord(c) > 0x2FFF for c in text if ord(c) > 127) else m.group()
 
-    return re.sub(r"(?:[^\x00-\x7f][^\n ]?){4,}", decode, line)
+    return _wide_run().sub(decode, line)
 
 
 # --- bigrams -------------------------------------------------------------------------------------
@@ -158,6 +165,7 @@ class Bigrams:
     pairs: np.ndarray
     counts: np.ndarray
     _table: np.ndarray | None = None
+    _gains: dict[tuple[str, str, str, str], float] = field(default_factory=dict)
 
     def table(self) -> np.ndarray:
         if self._table is None:
@@ -173,8 +181,18 @@ class Bigrams:
         codes = _codes(text.lower())
         return float(self.table()[codes[:-1], codes[1:]].sum())
 
+    def gain_of(self, before: str, run: str, after: str, page: str) -> float:
+        """What reading ``run`` back through ``page`` gains between its neighbours; the same stretches come again and again."""
+        known = (before, run, after, page)
+        if known not in self._gains:
+            if len(self._gains) > 200_000:
+                self._gains.clear()
+            letters = _read_back(run, page)
+            self._gains[known] = 0.0 if letters is None else self.of(before + letters + after) - self.of(before + run + after)
+        return self._gains[known]
+
     def __getstate__(self):
-        return {"pairs": self.pairs, "counts": self.counts, "_table": None}
+        return {"pairs": self.pairs, "counts": self.counts, "_table": None, "_gains": {}}
 
 
 def learn_bigrams(documents: DataFrame) -> Bigrams:
@@ -194,15 +212,20 @@ def _unescaped(text: str) -> str:
     return _ENTITY.sub(one, text) if "&" in text else text
 
 
+@cache
+def _leads_and_tails(page: str) -> tuple[frozenset[str], frozenset[str]]:
+    back, _ = _page(page)
+    return frozenset(c for c, b in back.items() if 0xC2 <= b <= 0xF4), frozenset(c for c, b in back.items() if 0x80 <= b <= 0xBF)
+
+
 def _utf8_gains(text: str, model: Bigrams) -> dict[str, float]:
     gains: dict[str, float] = {}
+    there = {c for c in set(text) if c > "\x7f"}
     for page in UTF8_READ_AS:
+        if any(there.isdisjoint(some) for some in _leads_and_tails(page)):
+            continue
         for m in _sequences(page).finditer(text):
-            letters = _read_back(m.group(), page)
-            if letters is None:
-                continue
-            before, after = text[max(0, m.start() - 1) : m.start()] or "\n", text[m.end() : m.end() + 1] or "\n"
-            gain = model.of(before + letters + after) - model.of(before + m.group() + after)
+            gain = model.gain_of(text[max(0, m.start() - 1) : m.start()] or "\n", m.group(), text[m.end() : m.end() + 1] or "\n", page)
             if gain > 0:
                 gains[f"utf-8>{page}"] = gains.get(f"utf-8>{page}", 0.0) + gain
     return gains
@@ -211,45 +234,76 @@ def _utf8_gains(text: str, model: Bigrams) -> dict[str, float]:
 _WORD = re.compile(r"\S{3,}")
 
 
-def _page_gains(line: str, model: Bigrams) -> dict[str, float]:
-    """Gains over the words of a line; single signs and letters prove nothing."""
-    line = " ".join(w for w in _WORD.findall(line) if not w.isascii() and sum(map(str.isalpha, w)) > 1)
-    now, gains = model.of("\n" + line + "\n"), {}
-    for key in PAGES_READ_AS:
-        other = _apply_page(line, key)
-        if other is not None and other != line:
-            gain = model.of("\n" + other + "\n") - now
-            if gain > 0:
-                gains[f"{key[1]}>{key[0]}"] = gain
-    return gains
+@cache
+def _class_map(key: tuple[str, str]) -> np.ndarray:
+    """What a single-byte key, then lower-casing, makes of each class of characters."""
+    table, n = _classes()
+    out = np.arange(n, dtype=np.int32)
+    swap = translation(*key)
+    for a, b in _RANGES:
+        for point in range(a, b):
+            new = swap.get(point, chr(point)).lower()
+            out[table[point]] = table[min(ord(new[0]), 0xFFFF)]
+    return out
 
 
-def _rare_lines(texts: list[str], model: Bigrams, limit: float) -> list[list[str]]:
-    """Of each text, the lines whose bigrams with non-ASCII characters are hardly ever seen."""
-    joined = "\n".join(t.replace("\n", "\r") for t in texts) + "\n"
-    codes = _codes(joined.lower()) if len(joined.lower()) == len(joined) else _codes(joined)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    odd = (points[1:] > 127) | (points[:-1] > 127)
-    chance = model.table()[codes[:-1], codes[1:]]
-    ends = np.flatnonzero((points == 10) | (points == 13))
-    line = np.searchsorted(ends, np.flatnonzero(odd))
-    n = np.bincount(line, minlength=len(ends))
-    mean = np.bincount(line, chance[odd], minlength=len(ends)) / np.maximum(n, 1)
-    rare = np.flatnonzero((n > 0) & (mean < limit))
-    text_ends = np.flatnonzero(points == 10)
-    out: list[list[str]] = [[] for _ in texts]
-    for i in rare:
-        a = int(ends[i - 1]) + 1 if i else 0
-        out[int(np.searchsorted(text_ends, ends[i]))].append(joined[a : int(ends[i])])
+@cache
+def _lower_map() -> np.ndarray:
+    table, n = _classes()
+    out = np.arange(n, dtype=np.int32)
+    for a, b in _RANGES:
+        for point in range(a, b):
+            out[table[point]] = table[min(ord(chr(point).lower()[0]), 0xFFFF)]
     return out
 
 
-def evidence(documents: DataFrame, model: Bigrams, *, limit: float = -3.5) -> DataFrame:
+def _page_gains(texts: list[str], model: Bigrams) -> list[dict[str, float]]:
+    """For each text, the keys of single-byte pages with their gain on the line they improve most.
+
+    A line's gain is the sum over its words; single signs and letters prove nothing. Each different
+    word is weighed once, under all keys.
+    """
+    owner, line_of, word_of, vocabulary, wide = [], [], [], {}, []
+    for i, text in enumerate(texts):
+        for line in text.split("\n"):
+            if line.isascii():
+                continue
+            for w in _WORD.findall(line):
+                if not w.isascii() and sum(map(str.isalpha, w)) > 1:
+                    line_of.append(len(owner))
+                    word_of.append(vocabulary.setdefault(w, len(vocabulary)))
+            if _wide_run().search(line):
+                wide.append((i, line))
+            owner.append(i)
+    gains: list[dict[str, float]] = [{} for _ in texts]
+    table = model.table()
+    if vocabulary:
+        codes = _codes(" " + "".join(w + " " for w in vocabulary))
+        starts = np.cumsum([0, *[len(w) + 1 for w in vocabulary]])[:-1]
+        plain = _lower_map()[codes]
+        now = np.add.reduceat(table[plain[:-1], plain[1:]], starts)
+        owner, line_of, word_of = np.array(owner), np.array(line_of), np.array(word_of)
+        for key in PAGES_READ_AS:
+            if key[1] not in WIDE:
+                new = _class_map(key)[codes]
+                better = np.add.reduceat(table[new[:-1], new[1:]], starts) - now
+                best = np.zeros(len(texts))
+                np.maximum.at(best, owner, np.bincount(line_of, better[word_of], len(owner)))
+                for i in np.flatnonzero(best > 1):
+                    gains[i][f"{key[1]}>{key[0]}"] = float(best[i])
+    for i, line in wide:
+        for key in PAGES_READ_AS:
+            if key[1] in WIDE and (other := _apply_page(line, key)) != line:
+                gain = model.of("\n" + other + "\n") - model.of("\n" + line + "\n")
+                if gain > max(1, gains[i].get(f"{key[1]}>{key[0]}", 0)):
+                    gains[i][f"{key[1]}>{key[0]}"] = gain
+    return gains
+
+
+def evidence(documents: DataFrame, model: Bigrams) -> DataFrame:
     """``doc_id, source, key, gain``: by how many nats each key makes a text's odd stretches likelier.
 
     Only keys that explain something come out; a replacement character is evidence of key ``lost``.
-    Keys of single-byte pages are tried on lines whose non-ASCII bigrams average under ``limit`` nats,
-    far from any clean text's (about -3).
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -260,13 +314,11 @@ def evidence(documents: DataFrame, model: Bigrams, *, limit: float = -3.5) -> Da
             for a, texts in _pieces(batch):
                 texts = [_unescaped(t or "") for t in texts]
                 odd = [i for i, t in enumerate(texts) if not t.isascii()]
-                rare = _rare_lines([texts[i] for i in odd], bigrams, limit) if odd else []
-                for i, lines in zip(odd, rare):
-                    found = _utf8_gains(texts[i], bigrams)
-                    if not found:
-                        for line in lines:
-                            for key, gain in _page_gains(line, bigrams).items():
-                                found[key] = max(found.get(key, 0.0), gain)
+                sums = dict(zip(odd, _page_gains([texts[i] for i in odd], bigrams)))
+                for i in odd:
+                    sums[i] |= _utf8_gains(texts[i], bigrams)
+                for i in odd:
+                    found = sums[i]
                     if "�" in texts[i]:
                         found[LOST] = 100.0
                     place += [a + i] * len(found)
