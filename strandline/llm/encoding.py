@@ -303,7 +303,8 @@ def _page_gains(texts: list[str], model: Bigrams) -> list[dict[str, float]]:
 def evidence(documents: DataFrame, model: Bigrams) -> DataFrame:
     """``doc_id, source, key, gain``: by how many nats each key makes a text's odd stretches likelier.
 
-    Only keys that explain something come out; a replacement character is evidence of key ``lost``.
+    Only keys that explain something come out. A replacement character is evidence of key ``lost``, but
+    for one at the very start or end, where a cut through a character leaves it in a right decoding.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -319,7 +320,7 @@ def evidence(documents: DataFrame, model: Bigrams) -> DataFrame:
                     sums[i] |= _utf8_gains(texts[i], bigrams)
                 for i in odd:
                     found = sums[i]
-                    if "�" in texts[i]:
+                    if "�" in texts[i].strip().strip("�"):
                         found[LOST] = 100.0
                     place += [a + i] * len(found)
                     keys += found.keys()
