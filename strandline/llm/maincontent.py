@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.skew import salted_lookup
+from strandline.operators.skew import salted
 from strandline.session import cut
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -23,31 +23,45 @@ def _host(url: Column) -> Column:
 
 
 def _features(elements: DataFrame) -> DataFrame:
-    """One row per (page_id, elem_no) with its path, its text template and its label."""
-    rows = elements.where("page_id is not null and elem_no is not null")
-    rows = rows.groupBy("page_id", "elem_no").agg(F.max(F.struct("text", "tag", "css_class", "url")).alias("e")).select("page_id", "elem_no", "e.*")
+    """One row per (page_id, elem_no); texts, templates, labels, hosts and classes as 64-bit hashes.
+
+    A title keeps the hashes of its beginnings at word ends, with which headings are compared.
+    """
+    rows = elements.where("page_id is not null and elem_no is not null").select("page_id", "elem_no", F.struct("text", "tag", "css_class", "url").alias("e"))
+    rows = rows.groupBy("page_id", "elem_no").agg(F.max("e").alias("e")).select("page_id", "elem_no", "e.*")
     text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _SPACE, " "))
-    rows = rows.select("page_id", "elem_no", F.lower("tag").alias("tag"), F.coalesce(F.regexp_replace(F.lower("css_class"), "[0-9]+", "0"), F.lit("")).alias("class"), _host(F.coalesce("url", F.lit(""))).alias("host"), text.alias("text"))
+    rows = rows.select("page_id", "elem_no", F.lower("tag").alias("tag"), F.coalesce(F.regexp_replace(F.lower("css_class"), "[0-9]+", "0"), F.lit("")).alias("class"), _host(F.coalesce("url", F.lit(""))).alias("host"), text.alias("text")).where("text <> ''")
     name = F.initcap(F.element_at(F.split(F.regexp_replace("host", r"^www\.", ""), r"\."), 1))
     plain = F.regexp_replace(F.when(F.length(name) > 2, F.replace("text", name, F.lit("§"))).otherwise(F.col("text")), _NUMBER, "0")
     heading = F.coalesce(F.col("tag").isin(*HEADINGS), F.lit(False))
-    return rows.withColumns(
-        {
-            "heading": heading,
-            "template": F.lower(F.when(heading, plain).otherwise(F.regexp_replace(plain, _NAME_INSIDE, "¤"))),
-            "label": F.regexp_extract("text", r"^([^\s:]+(?: [^\s:]+){0,3}): ", 1),
-            "n_chars": F.length("text"),
-        }
-    ).where("n_chars > 0")
+    template = F.lower(F.when(heading, plain).otherwise(F.regexp_replace(plain, _NAME_INSIDE, "¤")))
+    label = F.regexp_extract("text", r"^([^\s:]+(?: [^\s:]+){0,3}): ", 1)
+    words = F.split("text", " ")
+    least = F.length("text") / 2 - 12
+    begins = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    begins = F.transform(F.filter(begins, lambda b: F.length(b) >= least), lambda b: F.xxhash64(b))
+    return rows.select(
+        "page_id", "elem_no", "tag", heading.alias("heading"), F.xxhash64("class").alias("class"), F.xxhash64("host").alias("host"), F.xxhash64("text").alias("text_h"),
+        F.xxhash64(template).alias("template"), F.when(label != "", F.xxhash64(label)).alias("label"), F.length("text").alias("n_chars"), F.when(F.col("tag") == "title", begins).alias("begins"),
+    )
 
 
 def _page_heads(rows: DataFrame) -> DataFrame:
-    """``page_id, head``: where the page's own heading stands - the first element with the text that starts its title."""
-    titles = rows.where("tag = 'title'").groupBy("page_id").agg(F.max("text").alias("title"))
-    near = rows.where(F.coalesce(~F.col("tag").isin("title", "li", *LINKS), F.lit(True))).join(titles, "page_id", "left")
-    match = F.col("title").isNotNull() & F.startswith("title", "text") & (F.col("n_chars") * 2 >= F.length("title") - 24)
-    score = F.when(match & F.col("heading"), 0).when(match, 1).when(F.col("tag") == "h1", 2).when(F.col("heading"), 3)
-    return near.withColumn("score", score).where("score is not null").groupBy("page_id").agg(F.min(F.struct("score", "elem_no")).alias("h")).select("page_id", F.col("h.elem_no").alias("head"))
+    """``page_id, head, n_rows``: where the page's own heading stands - the first element with the text that starts its title."""
+    titles = rows.where("begins is not null").groupBy("page_id").agg(F.max("begins").alias("title"))
+    near = rows.where(F.coalesce(~F.col("tag").isin("title", "li", *LINKS), F.lit(True)) & F.col("heading")).select("page_id", "elem_no", "tag", "text_h", F.lit(True).alias("h"))
+    other = rows.where(F.coalesce(~F.col("tag").isin("title", "li", *LINKS), F.lit(True)) & ~F.col("heading")).select("page_id", "elem_no", "tag", "text_h", F.lit(False).alias("h"))
+    known = near.unionByName(other).join(titles, "page_id", "left")
+    match = F.coalesce(F.array_contains("title", F.col("text_h")), F.lit(False))
+    score = F.when(match & F.col("h"), 0).when(match, 1).when(F.col("tag") == "h1", 2).when(F.col("h"), 3)
+    heads = known.withColumn("score", score).where("score is not null").groupBy("page_id").agg(F.min(F.struct("score", "elem_no")).alias("h")).select("page_id", F.col("h.elem_no").alias("head"))
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_rows")).join(heads, "page_id", "left")
+
+
+def _looked_up(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` left joined with ``facts`` (one row per ``key``, ``n_rows`` of it), hot keys salted."""
+    left, right = salted(rows, facts, key, ["page_id", "elem_no"], total=total)
+    return left.join(right.drop("n_rows"), [key, "_salt"], "left").drop("_salt")
 
 
 def main_elements(elements: DataFrame, *, least_pages: int = 3, host_share: float = 0.02, share: float = 0.0025, resumes: float = 0.25, wins: float = 0.3) -> DataFrame:
@@ -59,7 +73,7 @@ def main_elements(elements: DataFrame, *, least_pages: int = 3, host_share: floa
     (sharing, comments, teasers, footers), others are inserts (adverts). From its heading to
     the first such end, a page scores its containers - elements of one tag-class path - by their
     text; the scores are votes of its host on that path, and pages are re-extracted with winning paths.
-    Elements without a tag take the tag their template usually has.
+    Elements without a tag take the tag their template usually has on the host.
 
     ``elements``: ``page_id, url, elem_no, tag, css_class, text``. Null page or number: ignored. Null
     or empty text is never content. Repeated rows count once (of differing ones the largest). A page
@@ -68,44 +82,43 @@ def main_elements(elements: DataFrame, *, least_pages: int = 3, host_share: floa
     salted look-ups.
     """
     rows = cut(_features(elements))
-    heads = _page_heads(rows).withColumn("n_rows", F.lit(1))
-    n_pages = rows.agg(F.count_distinct("page_id")).scalar()
-    usual = rows.where("tag is not null").groupBy("template", "tag").agg(F.count(F.lit(1)).alias("n")).groupBy("template").agg(F.max_by("tag", F.struct("n", "tag")).alias("usual"), F.sum("n").alias("n_rows"))
-    untagged = salted_lookup(rows.where("tag is null"), usual, "template", ["page_id", "elem_no"]).select("page_id", "elem_no", "usual")
-    rows = rows.join(untagged, ["page_id", "elem_no"], "left").withColumn("tag", F.coalesce("tag", "usual", F.lit(""))).drop("usual")
+    total = rows.count()
+    pages = cut(_page_heads(rows))
+    n_pages = pages.count()
+
+    # how common each template is, on its host and anywhere, and the tag it has there
+    once = rows.groupBy("host", "template", "page_id").agg(F.max("tag").alias("tag"))
+    here = cut(once.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n_here"), F.mode("tag", True).alias("usual")))
+    hosts = rows.select("host", "page_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    anywhere = here.groupBy("template").agg(F.sum("n_here").alias("n_all")).where(F.col("n_all") >= least_pages)
+    facts = here.join(anywhere, "template").join(hosts, "host")
+    common = ((F.col("n_here") >= least_pages) & (F.col("n_here") >= host_share * F.col("host_pages"))) | (F.col("n_all") >= share * n_pages)
+    facts = cut(facts.select(F.xxhash64("host", "template").alias("_k"), common.alias("common"), "usual", F.col("n_here").alias("n_rows")))
+    known = _looked_up(rows.drop("text_h", "begins", "heading").withColumn("_k", F.xxhash64("host", "template")), facts, "_k", total).drop("_k")
+    known = known.withColumn("tag", F.coalesce("tag", "usual", F.lit(""))).drop("usual")
     link, content = F.col("tag").isin(*LINKS), F.col("tag").isin(*CONTENT)
-
-    # how common each template is, on its host and anywhere
-    hosts = rows.groupBy("host").agg(F.count_distinct("page_id").alias("host_pages"))
-    on_host = rows.select("host", "template", "page_id").distinct().groupBy("host", "template").agg(F.count(F.lit(1)).alias("n_here"))
-    anywhere = on_host.groupBy("template").agg(F.sum("n_here").alias("n_all"), F.sum("n_here").alias("n_rows"))
-    common = salted_lookup(on_host, anywhere, "template", ["host"]).join(hosts, "host")
-    common = common.where(((F.col("n_here") >= least_pages) & (F.col("n_here") >= host_share * F.col("host_pages"))) | ((F.col("n_all") >= least_pages) & (F.col("n_all") >= share * n_pages)))
-    common = common.select(F.struct("host", "template").alias("_k"), F.lit(True).alias("common"), F.col("n_here").alias("n_rows"))
-    keyed = rows.withColumn("_k", F.struct("host", "template"))
-    marked = salted_lookup(keyed, common, "_k", ["page_id", "elem_no"]).select("page_id", "elem_no", "common")
-    rows = rows.join(marked, ["page_id", "elem_no"], "left").withColumn("common", F.coalesce("common", F.lit(False)) & ~content)
-    rows = cut(rows.join(heads.drop("n_rows"), "page_id", "left"))
+    known = known.withColumn("common", F.coalesce("common", F.lit(False)) & ~content)
+    known = cut(_looked_up(known, pages, "page_id", total).where("head is not null"))
 
     # which common templates end an article
     strong = ~F.col("common") & ~link & (F.col("elem_no") > F.col("head")) & (content | (F.col("n_chars") >= 140))
-    last = rows.where(strong).groupBy("page_id").agg(F.max("elem_no").alias("last_strong"))
-    after = rows.where(F.col("common") & (F.col("elem_no") > F.col("head"))).join(last, "page_id", "left")
-    ends = after.groupBy("template").agg(F.avg((F.col("elem_no") < F.coalesce("last_strong", F.lit(-1))).cast("double")).alias("resumed"), F.count(F.lit(1)).alias("n_rows")).where(F.col("resumed") < resumes).select("template", "n_rows")
-    stops = salted_lookup(after, ends, "template", ["page_id", "elem_no"]).groupBy("page_id").agg(F.min("elem_no").alias("stop"))
-    labels = rows.where(link & (F.col("label") != "")).groupBy("label").agg(F.count_distinct("page_id").alias("n")).where(F.col("n") >= least_pages)
-    labelled = rows.where("label <> ''").join(labels, "label", "left_semi").select("page_id", "elem_no", F.lit(True).alias("labelled"))
-    rows = rows.join(stops, "page_id", "left").join(labelled, ["page_id", "elem_no"], "left")
+    last = known.where(strong).groupBy("page_id").agg(F.max("elem_no").alias("last_strong"), F.count(F.lit(1)).alias("n_rows"))
+    after = cut(_looked_up(known.where(F.col("common") & (F.col("elem_no") > F.col("head"))).select("page_id", "elem_no", "template"), last, "page_id", total))
+    ends = after.groupBy("template").agg(F.avg((F.col("elem_no") < F.coalesce("last_strong", F.lit(-1))).cast("double")).alias("resumed"), F.count(F.lit(1)).alias("n_rows"))
+    stops = _looked_up(after.drop("last_strong"), ends, "template", total).where(F.col("resumed") < resumes).groupBy("page_id").agg(F.min("elem_no").alias("stop"), F.count(F.lit(1)).alias("n_rows"))
+    labels = known.where(link & F.col("label").isNotNull()).groupBy("label").agg(F.count_distinct("page_id").alias("n"), F.count(F.lit(1)).alias("n_rows"))
+    labels = cut(labels.where(F.col("n") >= least_pages).select("label", "n_rows", F.lit(True).alias("leads_away")))
+    judged = _looked_up(_looked_up(known, cut(stops), "page_id", total), labels, "label", total)
     inside = (F.col("elem_no") >= F.col("head")) & (F.col("elem_no") < F.coalesce("stop", F.lit(2**31 - 1)))
-    rows = rows.withColumn("inside", F.coalesce(inside, F.lit(False)) & (F.col("tag") != "title") & F.col("labelled").isNull() & ~link)
+    inside = inside & (F.col("tag") != "title") & F.col("leads_away").isNull() & ~link
+    own = F.col("elem_no") == F.col("head")
+    judged = cut(judged.select("page_id", "elem_no", F.xxhash64("host", "tag", "class").alias("path"), (F.col("tag") == "title").alias("title"), inside.alias("inside"), F.when(F.col("common") & ~own, 0).otherwise(F.col("n_chars")).alias("mass")))
 
     # containers' scores, the host's vote on their paths, extraction with the winners
-    mass = F.when(F.col("common") & (F.col("elem_no") != F.col("head")), 0).otherwise(F.col("n_chars"))
-    containers = rows.where(F.col("tag") != "title").groupBy("host", "tag", "class", "page_id").agg(F.sum(F.when(F.col("inside"), mass).otherwise(0)).alias("good"), F.sum(mass).alias("all"))
-    votes = containers.groupBy("host", "tag", "class").agg(F.sum("good").alias("good"), F.sum("all").alias("all"), F.count(F.lit(1)).alias("n_rows"))
-    winners = votes.where((F.col("good") > 0) & (F.col("good") >= wins * F.col("all"))).select(F.struct("host", "tag", "class").alias("_k"), "n_rows")
-    kept = rows.where(F.col("inside") & (~F.col("common") | (F.col("elem_no") == F.col("head"))))
-    return salted_lookup(kept.withColumn("_k", F.struct("host", "tag", "class")), winners, "_k", ["page_id", "elem_no"]).select("page_id", "elem_no")
+    containers = judged.where("not title").groupBy("path", "page_id").agg(F.sum(F.when(F.col("inside"), F.col("mass")).otherwise(0)).alias("good"), F.sum("mass").alias("all"), F.count(F.lit(1)).alias("n"))
+    votes = containers.groupBy("path").agg(F.sum("good").alias("good"), F.sum("all").alias("all"), F.sum("n").alias("n_rows"))
+    winners = cut(votes.where((F.col("good") > 0) & (F.col("good") >= wins * F.col("all"))).select("path", "n_rows", F.lit(True).alias("won")))
+    return _looked_up(judged.where("inside and mass > 0"), winners, "path", total).where("won").select("page_id", "elem_no")
 
 
 def main_text(elements: DataFrame, body: DataFrame) -> DataFrame:
