@@ -11,18 +11,24 @@ from strandline.session import cut
 LEAST_PAGES = 5
 #: Confirmed lines are broadcast only while their whole set is at most this many bytes.
 BROADCAST_BYTES = 32 << 20
-#: White space that \\s leaves out of the basic class, as code points in a class.
-_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_ASCII = r"\t\x0B\f\r"
+_WIDE = _ASCII + r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: White space other than line breaks; a single space is left as it is. The look-ahead passes over ASCII letters fast.
+_ASCII_SPACE = rf"  +|[{_ASCII}][ {_ASCII}]*"
+_SPACE = rf"(?![!-~])(?:[ {_WIDE}]{{2,}}|[{_WIDE}])"
 
 
-def line_key(line: Column) -> Column:
-    """Lower-cased line, trimmed, each run of white space one space and each run of digits ``0``."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), _SPACE, " "), "[0-9]+", "0"))
+def normal(text: Column) -> Column:
+    """Lower-cased text, each run of white space inside a line one space and each run of digits ``0``."""
+    low = F.lower(text)
+    spaced = F.when(F.octet_length(low) == F.length(low), F.regexp_replace(low, _ASCII_SPACE, " ")).otherwise(F.regexp_replace(low, _SPACE, " "))
+    return F.regexp_replace(spaced, "[0-9]+", "0")
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    split = texts.where("text is not null").select("text_id", "url", "site", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    return split.select("text_id", "url", "site", (F.col("at") + 1).alias("line_no"), line_key(F.col("line")).alias("key")).where("key <> ''")
+    """``text_id, url, site, line_no, key``; whole texts are normalised at once, then cut."""
+    split = texts.where("text is not null").select("text_id", "url", "site", F.posexplode(F.split(normal(F.col("text")), "\n", -1)).alias("at", "line"))
+    return split.select("text_id", "url", "site", (F.col("at") + 1).alias("line_no"), F.trim("line").alias("key")).where("key <> ''")
 
 
 def summaries(texts: DataFrame) -> DataFrame:
