@@ -101,7 +101,7 @@ def orphans(references: DataFrame, parents: DataFrame, *, rows_per_range: int =
     spark = references.sparkSession
     sure = references.select("table_name", F.col("record_id").cast("long").alias("record_id"), "key", F.unix_micros("seen_at").alias("t1")).where("key is not null")
     partitions = parallelism(spark)
-    bits = min(16, max(2, math.ceil(math.log2(max(4 * partitions, parents.count() / rows_per_range)))))
+    bits = min(16, max(2, math.ceil(math.log2(max(16 * partitions, parents.count() / rows_per_range)))))
     ranged: Column = F.shiftrightunsigned(F.col("h"), 64 - bits).cast("int")
     refs = sure.withColumn("h", F.xxhash64("key")).withColumn("range", ranged)
     sizes = {r["range"]: r["count"] for r in refs.groupBy("range").count().collect()}  # one small row per range, 2**16 at most
