@@ -57,7 +57,8 @@ class LeakIndex:
         self.items = np.array([i for i, _ in items], np.int64)[owner] if len(begin) else np.zeros(0, np.int64)
         self.windows = tokens[begin[:, None] + np.arange(window)] if len(begin) else np.zeros((0, window), np.int32)
         rng = np.random.default_rng(seed)
-        meet = 1.0 if not edits else max(1e-3, (1 - min(0.9, 2 * edits / (3 * window) + edits**2 / (3 * window))) ** sampled)
+        # an upper estimate of the share of places that differ, measured on random windows
+        meet = 1.0 if not edits else max(1e-3, (1 - min(0.9, (3.5 * edits + 0.5 * edits**2) / (3 * window))) ** sampled)
         self.repetitions = []
         for _ in range(1 if not edits else math.ceil(math.log(1 - recall) / math.log(1 - meet))):
             coins = rng.integers(0, 2**63, len(self.vocabulary) + 2, np.uint64)
