@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as T
 from strandline.operators.skew import salted_lookup
+from strandline.session import cut
 
 
 def page_terms(elements: DataFrame, dictionaries: dict[int, DataFrame] | None = None, doc: str = "page_id") -> DataFrame:
@@ -26,7 +27,11 @@ def page_terms(elements: DataFrame, dictionaries: dict[int, DataFrame] | None =
 
 
 def term_frequency(terms: DataFrame, doc: str = "page_id") -> DataFrame:
-    """``terms`` with ``max_n`` and ``tf = n / max_n`` (5 digits), ``max_n`` being the page's largest count, 1 at least."""
+    """``terms`` with ``max_n`` and ``tf = n / max_n`` (5 digits), ``max_n`` being the page's largest count, 1 at least.
+
+    Terms cost a tokenisation and are needed twice, so they are written once.
+    """
+    terms = cut(terms)
     most = terms.groupBy(doc).agg(F.greatest(F.max("n"), F.lit(1)).alias("max_n"))
     return terms.join(most, doc).withColumn("tf", F.round(F.col("n") / F.col("max_n"), 5))
 
