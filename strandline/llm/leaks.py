@@ -44,7 +44,8 @@ class LeakIndex:
     CGK reads a window with a pointer that moves on or waits by a coin drawn for (step, word), so
     two windows a few edits apart soon read the same words again: edit distance becomes Hamming
     distance. Sampling places of the output gives buckets; equal windows always meet, others with
-    a probability that the number of repetitions lifts to ``recall``.
+    a probability that the number of repetitions lifts to ``recall``. An edit may add or drop a word,
+    so stretches of ``window - edits`` to ``window + edits`` words are compared with an item's window.
     """
 
     def __init__(self, items: list[tuple[int, str]], *, window: int, edits: int, recall: float, sampled: int, seed: int):
@@ -56,6 +57,9 @@ class LeakIndex:
         owner = np.searchsorted(starts, begin, "right") - 1
         self.items = np.array([i for i, _ in items], np.int64)[owner] if len(begin) else np.zeros(0, np.int64)
         self.windows = tokens[begin[:, None] + np.arange(window)] if len(begin) else np.zeros((0, window), np.int32)
+        # of edits + 1 equal parts of a window, some part is whole after that many edits
+        self.part = max(1, window // (edits + 1))
+        self.parts = np.unique(self._hashes(tokens)[(begin[:, None] + np.arange(window - self.part + 1)).ravel()]) if len(begin) else np.zeros(0, np.uint64)
         rng = np.random.default_rng(seed)
         # an upper estimate of the share of places that differ, measured on random windows
         meet = 1.0 if not edits else max(1e-3, (1 - min(0.9, (3.5 * edits + 0.5 * edits**2) / (3 * window))) ** sampled)
@@ -63,7 +67,7 @@ class LeakIndex:
         for _ in range(1 if not edits else math.ceil(math.log(1 - recall) / math.log(1 - meet))):
             coins = rng.integers(0, 2**63, len(self.vocabulary) + 2, np.uint64)
             one = Repetition(coins, np.sort(rng.choice(3 * window, sampled, replace=False)))
-            keys = self.embed(tokens, begin, one)
+            keys, _ = self.embed(tokens, begin, np.arange(-edits, edits + 1) == np.zeros((len(begin), 1)), one)
             order = np.argsort(keys, kind="stable")
             one.keys, one.at = keys[order], order
             self.repetitions.append(one)
@@ -75,57 +79,93 @@ class LeakIndex:
         places = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.vocabulary), len(self.vocabulary)).to_numpy(zero_copy_only=False).astype(np.int32)
         return places[coded.indices.to_numpy()]
 
-    def embed(self, tokens: np.ndarray, begin: np.ndarray, one: Repetition) -> np.ndarray:
-        """LSH keys of the windows of ``tokens`` that start at ``begin``."""
-        pad = len(self.vocabulary) + 1
-        step = np.zeros(len(begin), np.int64)
+    def _hashes(self, tokens: np.ndarray) -> np.ndarray:
+        """Hashes of each ``part`` words in a row."""
+        n = max(0, len(tokens) - self.part + 1)
+        out = np.zeros(n, np.uint64)
+        for i in range(self.part):
+            out = (out ^ tokens[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def embed(self, tokens: np.ndarray, begin: np.ndarray, lengths: np.ndarray, one: Repetition) -> tuple[np.ndarray, np.ndarray]:
+        """LSH keys of stretches of ``tokens``, and the place in ``begin`` of each.
+
+        Column k of ``lengths`` says which stretches of ``window - edits + k`` words are wanted.
+        """
+        pad, shortest = len(self.vocabulary) + 1, self.window - self.edits
+        rows = np.arange(len(begin))
+        at, end = begin, None
         keys = np.zeros(len(begin), np.uint64)
         wanted = set(one.places.tolist())
         for j in range(int(one.places[-1]) + 1):
-            word = np.where(step < self.window, tokens[np.minimum(begin + step, len(tokens) - 1)], pad) if j >= self.window else tokens[begin + step]
+            if j == shortest:  # no walk has come to an end before; from here on the lengths part
+                row, k = np.nonzero(lengths[rows])
+                rows, at, keys = rows[row], at[row], keys[row]
+                end = begin[rows] + shortest + k
+            word = tokens[at] if end is None else np.where(at < end, tokens[np.minimum(at, len(tokens) - 1)], pad)
+            at = at + ((one.coins[word] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
             if j in wanted:
                 keys = (keys ^ word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 keys ^= keys >> np.uint64(29)
-            step += ((one.coins[word] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-        return keys
+        return (keys, rows) if end is not None else (np.repeat(keys, lengths[rows].sum(1)), rows[np.nonzero(lengths[rows])[0]])
 
     def _distance(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Word edit distance of paired windows; words of no item equal nothing."""
+        """Fewest word edits between a beginning of each row of ``left`` and its window of ``right``; words of no item equal nothing."""
         if not self.edits:
             return np.where((left == right).all(1), 0, 1)
-        w, unknown = self.window, len(self.vocabulary)
-        row = np.tile(np.arange(w + 1), (len(left), 1))
-        for i in range(1, w + 1):
-            new = np.empty_like(row)
-            new[:, 0] = i
-            for j in range(1, w + 1):
-                differ = (left[:, i - 1] != right[:, j - 1]) | (left[:, i - 1] == unknown)
-                new[:, j] = np.minimum(np.minimum(row[:, j], new[:, j - 1]) + 1, row[:, j - 1] + differ)
-            row = new
-        return row[:, w]
+        w, e, unknown = self.window, self.edits, len(self.vocabulary)
+        left, right = np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)
+        more = np.full(left.shape[1], e + 1, np.int16)  # away from the diagonal more edits are needed
+        row = [np.full(left.shape[1], min(j, e + 1), np.int16) for j in range(w + 1)]
+        best = row[w]
+        for i, read in enumerate(left, 1):
+            new = [more] * (w + 1)
+            new[0] = np.full(left.shape[1], min(i, e + 1), np.int16)
+            strange = read == unknown
+            for j in range(max(1, i - e), min(w, i + e) + 1):
+                differ = (read != right[j - 1]) | strange
+                new[j] = np.minimum(np.minimum(row[j], new[j - 1]) + 1, row[j - 1] + differ)
+            row, best = new, np.minimum(best, new[w])
+        return best
 
     def search(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text places, item ids and fewest edits of the pairs found, each pair once."""
         flat, starts = words(texts)
         none = np.zeros(0, np.int64)
-        if len(flat) < self.window or not len(self.windows):
+        shortest, longest, unknown = self.window - self.edits, self.window + self.edits, len(self.vocabulary)
+        if len(flat) < shortest or not len(self.windows):
             return none, none, none
         tokens = self.encode(flat)
-        strange = np.r_[0, np.cumsum(tokens == len(self.vocabulary))]
-        begin = np.flatnonzero(strange[self.window :] - strange[: -self.window] <= self.edits)  # else more edits are needed
+        strange = np.r_[0, np.cumsum(tokens == unknown)]
+        begin = np.flatnonzero(strange[shortest:] - strange[:-shortest] <= self.edits)  # else more edits are needed
+        if self.edits < self.window:  # nor does it do without a part of an item
+            hashes = self._hashes(tokens)
+            at = np.minimum(np.searchsorted(self.parts, hashes), len(self.parts) - 1)
+            whole = np.r_[0, np.cumsum(self.parts[at] == hashes)]
+            begin = begin[whole[np.minimum(begin + longest - self.part + 1, len(hashes))] > whole[np.minimum(begin, len(hashes))]]
         owner = np.searchsorted(starts, begin, "right") - 1
-        inside = begin + self.window <= starts[owner + 1]
+        inside = begin + shortest <= starts[owner + 1]
         begin, owner = begin[inside], owner[inside]
-        found = []
+        last = starts[owner + 1]
+        lengths = np.stack([(begin + n <= last) & (strange[np.minimum(begin + n, len(tokens))] - strange[begin] <= self.edits) for n in range(shortest, longest + 1)], axis=1)
+        ahead = np.arange(longest)
+        found, met, n_met = [], [], 0
         for one in self.repetitions:
-            keys = self.embed(tokens, begin, one)
+            keys, mine = self.embed(tokens, begin, lengths, one)
             low, high = np.searchsorted(one.keys, keys, "left"), np.searchsorted(one.keys, keys, "right")
             n = high - low
-            mine = np.repeat(np.arange(len(begin)), n)
             theirs = one.at[np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-            for a in range(0, len(mine), 500_000):
-                m, t = mine[a : a + 500_000], theirs[a : a + 500_000]
-                edits = self._distance(tokens[begin[m][:, None] + np.arange(self.window)], self.windows[t])
+            met.append(np.unique(np.repeat(mine, n) * len(self.windows) + theirs))
+            n_met += len(met[-1])
+            if n_met < 2_000_000 and one is not self.repetitions[-1]:
+                continue
+            candidates, met, n_met = np.unique(np.concatenate(met)), [], 0
+            for a in range(0, len(candidates), 50_000):
+                m, t = np.divmod(candidates[a : a + 50_000], len(self.windows))
+                where = begin[m][:, None] + ahead
+                read = np.where(where < last[m][:, None], tokens[np.minimum(where, len(tokens) - 1)], unknown)  # no word of the next text
+                edits = self._distance(read, self.windows[t])
                 good = edits <= self.edits
                 found.append(np.unique(np.stack([owner[m][good], self.items[t][good], edits[good]]), axis=1))
         if not found:
@@ -136,14 +176,14 @@ class LeakIndex:
 
 
 def leaks(documents: DataFrame, items: DataFrame, *, window: int = 12, edits: int = 0, recall: float = 0.95, sampled: int = 8, seed: int = 7) -> DataFrame:
-    """``doc_id, item_id, edits``: documents with ``window`` consecutive words of an item, up to ``edits`` word edits.
+    """``doc_id, item_id, edits``: documents with ``window`` consecutive words of an item, up to ``edits`` words changed, added or dropped.
 
     Exact sharing (``edits=0``) is found without loss, since equal windows get equal keys; with edits
     a pair is found with probability ``recall`` or more. Every hit is verified. Documents stay
     where they are: the index of the stated items goes to them, in blocks of bounded size.
 
-    Nulls: a null text has no words, rows with null id are ignored. Texts shorter than ``window``
-    words match nothing. A text of any length is read whole. Repeated rows come out once, other
+    Nulls: a null text has no words, rows with null id are ignored. Items shorter than ``window``
+    words and documents shorter than ``window - edits`` match nothing. A text of any length is read whole. Repeated rows come out once, other
     columns are ignored, empty tables give an empty result.
     """
     spark = documents.sparkSession

@@ -129,6 +129,29 @@ def test_near_leaks_reach_the_recall():
     assert len({p for p, i in zip(place, item) if p == i}) >= 0.9 * len(items) and set(edits) == {1}
 
 
+@pytest.mark.parametrize("kinds", ["i", "d", "ii", "dd", "id", "si", "sd"])
+def test_near_leaks_with_words_added_and_dropped(kinds):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(12))) for i in range(200)]
+    index = leaks.LeakIndex(items, window=12, edits=len(kinds), recall=0.95, sampled=8, seed=1)
+    changed = []
+    for n, (_, text) in enumerate(items):
+        w = text.split()
+        for at, kind in zip(rng.sample(range(2, 9), len(kinds)), kinds):
+            w[at : at + (kind != "i")] = [] if kind == "d" else ["other"]
+        changed.append(" ".join(w) if n % 2 else "start " + " ".join(w) + " end")
+    place, item, edits = index.search(pa.array(changed))
+    assert len({p for p, i in zip(place, item) if p == i}) >= 0.9 * len(items) and set(edits) <= {1, 2} and len(place) <= len(items)
+
+
+def test_near_leaks_stay_inside_one_text():
+    text = " ".join(f"w{i}" for i in range(12))
+    index = leaks.LeakIndex([(1, text)], window=12, edits=2, recall=0.95, sampled=8, seed=1)
+    place, _, edits = index.search(pa.array([" ".join(text.split()[:9]), " ".join(text.split()[9:]), text, " ".join(text.split()[:10])]))
+    assert list(zip(place, edits)) == [(2, 0), (3, 2)]
+
+
 FRENCH = ["L’été dernier, le café a fermé près du théâtre et la crème brûlée était gâtée", "Où se trouve le musée que la forêt protège déjà à côté", "Voilà une idée très étrange, être prêt à céder la clé"]
 RUSSIAN = ["Почему старый мост около города такой узкий, если он давно открыт", "Жители знают, что тёплый поезд и театр уже закрыты на ремонт", "Описание рынка займёт много страниц, где пустой остров ещё не измерен"]
 ENGLISH = ["The garden’s wall is “old” — it costs £5 or €6 at the café", "A naïve fiancée walked to the river and back"]
