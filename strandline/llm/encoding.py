@@ -300,11 +300,23 @@ def _page_gains(texts: list[str], model: Bigrams) -> list[dict[str, float]]:
     return gains
 
 
+def _lost(text: str) -> bool:
+    """Whether ``text`` holds replacement characters that no cut through a letter at its start or end explains."""
+    if "�" not in text:
+        return False
+    text = text.strip()
+    inside = text.strip("�")
+    edge = max(len(text) - len(text.lstrip("�")), len(text) - len(text.rstrip("�")))
+    widest = max((len(c.encode("utf-8", "surrogatepass")) for c in set(inside) if c > "\x7f" and c.isalpha()), default=1)
+    return "�" in inside or edge >= widest
+
+
 def evidence(documents: DataFrame, model: Bigrams) -> DataFrame:
     """``doc_id, source, key, gain``: by how many nats each key makes a text's odd stretches likelier.
 
     Only keys that explain something come out. A replacement character is evidence of key ``lost``, but
-    for one at the very start or end, where a cut through a character leaves it in a right decoding.
+    for what a cut through one letter leaves at the very start or end of a right decoding: in a text with
+    other non-ASCII letters, one for each byte of their longest but one.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -320,7 +332,7 @@ def evidence(documents: DataFrame, model: Bigrams) -> DataFrame:
                     sums[i] |= _utf8_gains(texts[i], bigrams)
                 for i in odd:
                     found = sums[i]
-                    if "�" in texts[i].strip().strip("�"):
+                    if _lost(texts[i]):
                         found[LOST] = 100.0
                     place += [a + i] * len(found)
                     keys += found.keys()

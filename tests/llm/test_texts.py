@@ -186,6 +186,14 @@ def test_encodings_found_and_restored(spark):
     assert encoding.garbled(df.limit(0)).count() == 0
 
 
+def test_replacement_characters_at_the_edges(spark):
+    bad = ["������", "������ старый мост", "Где старый мост ������", "�cole fermée".replace("é", "e"), "He said “no�".replace("“", '"'), "��аждый мост", "a�b", "���新しい港"]
+    good = ["�аждый мост", "Каждый мос�", "��かな庭園", "ことはない�", "�аждый мос�", "plain", ""]
+    rows = [(i, "s", t) for i, t in enumerate(bad)] + [(100 + i, "s", t) for i, t in enumerate(good)]
+    found = encoding.garbled(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert {(r["doc_id"], r["key"]) for r in found.collect()} == {(i, encoding.LOST) for i in range(len(bad))}
+
+
 @pytest.mark.parametrize("key", encoding.PAGES_READ_AS[:6])
 def test_page_keys_are_inverse(key):
     text = "привет мир"
