@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -257,10 +258,25 @@ def _lower_map() -> np.ndarray:
     return out
 
 
+@cache
+def _lines() -> re.Pattern:
+    """Box drawing signs in a row, each joined to the next."""
+    names = {chr(p): unicodedata.name(chr(p)) for p in range(0x2500, 0x2580)}
+    right = {c for c, n in names.items() if "RIGHT" in n or "HORIZONTAL" in n}
+    left = {c for c, n in names.items() if "LEFT" in n or "HORIZONTAL" in n}
+    return re.compile(f"[{''.join(sorted(right))}][{''.join(sorted(right & left))}]*[{''.join(sorted(left))}]")
+
+
+def _drawn(word: str) -> bool:
+    """Whether signs without letters are a drawing: joined lines, or at most two different non-ASCII signs."""
+    return len({c for c in word if c > "\x7f"}) < 3 or _lines().fullmatch(word) is not None
+
+
 def _page_gains(texts: list[str], model: Bigrams) -> list[dict[str, float]]:
     """For each text, the keys of single-byte pages with their gain on the line they improve most.
 
-    A line's gain is the sum over its words; single signs and letters prove nothing. Each different
+    A line's gain is the sum over its words; single signs and letters prove nothing. A letter is what is
+    one before or after the key is applied. Each different
     word is weighed once, under all keys.
     """
     owner, line_of, word_of, vocabulary, wide = [], [], [], {}, []
@@ -269,7 +285,7 @@ def _page_gains(texts: list[str], model: Bigrams) -> list[dict[str, float]]:
             if line.isascii():
                 continue
             for w in _WORD.findall(line):
-                if not w.isascii() and sum(map(str.isalpha, w)) > 1:
+                if not w.isascii() and (sum(map(str.isalpha, w)) > 1 or not _drawn(w)):
                     line_of.append(len(owner))
                     word_of.append(vocabulary.setdefault(w, len(vocabulary)))
             if _wide_run().search(line):
@@ -282,11 +298,16 @@ def _page_gains(texts: list[str], model: Bigrams) -> list[dict[str, float]]:
         starts = np.cumsum([0, *[len(w) + 1 for w in vocabulary]])[:-1]
         plain = _lower_map()[codes]
         now = np.add.reduceat(table[plain[:-1], plain[1:]], starts)
+        points, at = np.unique(np.frombuffer(" ".join(["", *vocabulary, ""]).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        signs = [chr(p) for p in points]
         owner, line_of, word_of = np.array(owner), np.array(line_of), np.array(word_of)
         for key in PAGES_READ_AS:
             if key[1] not in WIDE:
                 new = _class_map(key)[codes]
-                better = np.add.reduceat(table[new[:-1], new[1:]], starts) - now
+                swap = translation(*key)
+                letters = np.array([c.isalpha() or swap.get(ord(c), c).isalpha() for c in signs])[at]
+                proven = np.add.reduceat(letters[:-1].astype(np.int32), starts) > 1
+                better = np.where(proven, np.add.reduceat(table[new[:-1], new[1:]], starts) - now, 0.0)
                 best = np.zeros(len(texts))
                 np.maximum.at(best, owner, np.bincount(line_of, better[word_of], len(owner)))
                 for i in np.flatnonzero(best > 1):

@@ -204,6 +204,32 @@ def test_page_keys_are_inverse(key):
     assert encoding._apply_page(wrong, key) == text
 
 
+POLISH = ["Zażółć gęślą jaźń, bo źródło światła jest już łatwe", "Dąb rośnie wśród łąk, a święta są później niż myśleliśmy", "Żółty księżyc świecił, gdyż chłopiec zgasił ścianę"]
+JAPANESE = ["静かな庭園が検索の近くで発見されたと報告があった", "新しい橋が駅の近くで記録されたと報告があった", "古い博物館がまだ閉鎖されたことはない"]
+
+
+def misread(text, key):
+    if key[1] in encoding.WIDE:
+        return "".join(encoding._page(key[0])[1][b] for b in text.encode(key[1]))
+    back, chars = encoding._page(key[1])[0], encoding._page(key[0])[1]
+    return "".join(chars[back[c]] if ord(c) > 127 and c in back else c for c in text)
+
+
+def test_every_page_key_is_detected(spark):
+    russian = [t.upper() for t in RUSSIAN] + [t.title() for t in RUSSIAN] + RUSSIAN
+    clean = (russian + POLISH + FRENCH + JAPANESE) * 30 + ["├── docs\n└── robots.txt", "╔═════╦═════╗\n║ a ║ b ║\n╚═════╩═════╝", "█▓▒░ 50 % ░▒▓█", "│1│2│\n├─┼─┼─\n└─┴─┘", "███▌ 88 %"]
+    bad = []
+    for key in encoding.PAGES_READ_AS:
+        cyrillic = key[1] in ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "iso8859-5")
+        texts = JAPANESE if key[1] in encoding.WIDE else POLISH if key[1] in ("iso8859-2", "cp1250") else russian if cyrillic else FRENCH
+        bad.append((key, misread(" ".join(t.replace("’", "'") for t in texts), key)))
+    low = ("cp866", "koi8-r"), ("cp1252", "cp866")
+    bad += [(key, misread(t.lower(), key)) for key in low for t in RUSSIAN]
+    rows = [(i, "s", t) for i, t in enumerate(clean)] + [(10_000 + i, "x", t) for i, (_, t) in enumerate(bad)]
+    found = {r["doc_id"] for r in encoding.garbled(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert not [clean[i] for i in found if i < 10_000] and not [b for i, b in enumerate(bad) if 10_000 + i not in found]
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_tokens int"
 
 
