@@ -14,7 +14,7 @@ BROADCAST_BYTES = 32 << 20
 _ASCII = r"\t\x0B\f\r"
 _WIDE = _ASCII + r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: White space other than line breaks; a single space is left as it is. The look-ahead passes over ASCII letters fast.
-_ASCII_SPACE = rf"  +|[{_ASCII}][ {_ASCII}]*"
+_ASCII_SPACE = rf"[ {_ASCII}]{{2,}}|[{_ASCII}]"
 _SPACE = rf"(?![!-~])(?:[ {_WIDE}]{{2,}}|[{_WIDE}])"
 
 

@@ -61,6 +61,12 @@ def test_repeated_lines(spark):
     assert lines.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_repeated_lines_with_spaces_before_tabs(spark):
+    middles = [" \t", "  \t ", "\t ", " ", "\t", "   "]
+    df = spark.createDataFrame([(i, f"u{i}", "s", f"{chr(97 + i)}\nshare this{m}page", 0, "") for i, m in enumerate(middles)], TEXTS)
+    assert {(r["text_id"], r["line_no"]) for r in lines.repeated_lines(df).collect()} == {(i, 2) for i in range(6)}
+
+
 def test_repeated_lines_without_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"u{i}", "s", f"{chr(97 + i)}\nagain", 0, "") for i in range(9)], TEXTS)
     monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
