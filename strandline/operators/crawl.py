@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -165,21 +166,24 @@ def record(links: DataFrame, robots: DataFrame, frontier: DataFrame, visited: Da
     return good.join(frontier.select("url"), "url", "left_anti")
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, links_of: Callable[[DataFrame], DataFrame], allow: Callable[[DataFrame], DataFrame], max_rounds: int = 20) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, links_of: Callable[[DataFrame], DataFrame], allow: Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> DataFrame:
     """``url, round``: pages reached from ``seeds`` by breadth-first rounds over stored ``pages``.
 
     Each round fetches the frontier's stored pages, extracts their links, drops those visited and
-    those ``allow`` rejects. It ends when nothing new turns up or after ``max_rounds``. Rounds are
-    written to the shared folder, so lineage stays short and a lost executor costs one round.
+    those ``allow`` rejects. It ends when nothing new turns up; if that takes more than
+    ``max_rounds`` rounds, a ``RuntimeError`` says so. Rounds are written to the shared folder, so
+    lineage stays short and a lost executor costs one round.
     """
     visited = cut(seeds.select("url").distinct().join(pages.select("url").distinct(), "url", "left_semi").withColumn("round", F.lit(0)))
     frontier = visited
-    for i in range(1, max_rounds + 1):
+    for i in count(1):
         found = links_of(pages.join(frontier.select("url"), "url", "left_semi")).select(F.col("link").alias("url")).distinct()
         new = allow(found.join(visited.select("url"), "url", "left_anti")).join(pages.select("url").distinct(), "url", "left_semi")
         frontier = cut(new.select("url").distinct().withColumn("round", F.lit(i)))
         if frontier.isEmpty():
             break
+        if max_rounds is not None and i > max_rounds:
+            raise RuntimeError(f"the crawl isn't done after {max_rounds} rounds")
         visited = cut(visited.unionByName(frontier))
     return visited
 

@@ -212,6 +212,16 @@ def test_crawl_rounds(spark):
     assert {(r["url"], r["round"]) for r in got.collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_crawl_goes_on_to_its_end(spark):
+    pages = spark.createDataFrame([(f"p{i}", [f"p{i + 1}"]) for i in range(23)], "url string, links array<string>")
+    seeds, links_of = spark.createDataFrame([("p0",)], "url string"), lambda p: p.select(F.explode("links").alias("link"))
+    assert crawl.crawl(pages, seeds, links_of, lambda u: u).agg(F.max("round"), F.count("url")).first() == (22, 23)
+    short = pages.where("url in ('p0', 'p1', 'p2')")
+    assert crawl.crawl(short, seeds, links_of, lambda u: u, max_rounds=2).count() == 3
+    with pytest.raises(RuntimeError):
+        crawl.crawl(short, seeds, links_of, lambda u: u, max_rounds=1)
+
+
 def test_jobs_and_groupings(spark):
     pairs = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", "b"), ("4", None)], "key string, value string")
     assert {(r["key"], r["value"]) for r in jobs.run_job(pairs, jobs.WordCountJob()).collect()} == {("a", "2"), ("b", "1")}
