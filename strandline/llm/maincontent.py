@@ -30,7 +30,7 @@ def _features(elements: DataFrame) -> DataFrame:
     rows = elements.where("page_id is not null and elem_no is not null").select("page_id", "elem_no", F.struct("text", "tag", "css_class", "url").alias("e"))
     rows = rows.groupBy("page_id", "elem_no").agg(F.max("e").alias("e")).select("page_id", "elem_no", "e.*")
     text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _SPACE, " "))
-    rows = rows.select("page_id", "elem_no", F.lower("tag").alias("tag"), F.coalesce(F.regexp_replace(F.lower("css_class"), "[0-9]+", "0"), F.lit("")).alias("class"), _host(F.coalesce("url", F.lit(""))).alias("host"), text.alias("text")).where("text <> ''")
+    rows = rows.select("page_id", "elem_no", F.coalesce(F.lower("tag"), F.when(F.col("elem_no") == 1, "title")).alias("tag"), F.coalesce(F.regexp_replace(F.lower("css_class"), "[0-9]+", "0"), F.lit("")).alias("class"), _host(F.coalesce("url", F.lit(""))).alias("host"), text.alias("text")).where("text <> ''")
     name = F.initcap(F.element_at(F.split(F.regexp_replace("host", r"^www\.", ""), r"\."), 1))
     plain = F.regexp_replace(F.when(F.length(name) > 2, F.replace("text", name, F.lit("§"))).otherwise(F.col("text")), _NUMBER, "0")
     heading = F.coalesce(F.col("tag").isin(*HEADINGS), F.lit(False))
@@ -43,6 +43,7 @@ def _features(elements: DataFrame) -> DataFrame:
     return rows.select(
         "page_id", "elem_no", "tag", heading.alias("heading"), F.xxhash64("class").alias("class"), F.xxhash64("host").alias("host"), F.xxhash64("text").alias("text_h"),
         F.xxhash64(template).alias("template"), F.when(label != "", F.xxhash64(label)).alias("label"), F.length("text").alias("n_chars"), F.when(F.col("tag") == "title", begins).alias("begins"),
+        (F.col("tag").isNull() & (plain == "0")).alias("bare"),
     )
 
 
@@ -73,7 +74,8 @@ def main_elements(elements: DataFrame, *, least_pages: int = 3, host_share: floa
     (sharing, comments, teasers, footers), others are inserts (adverts). From its heading to
     the first such end, a page scores its containers - elements of one tag-class path - by their
     text; the scores are votes of its host on that path, and pages are re-extracted with winning paths.
-    Elements without a tag take the tag their template usually has on the host.
+    Elements without a tag take the tag their template usually has on the host, bare numbers that of
+    their class, and a page's element 1 is its title.
 
     ``elements``: ``page_id, url, elem_no, tag, css_class, text``. Null page or number: ignored. Null
     or empty text is never content. Repeated rows count once (of differing ones the largest). A page
@@ -93,8 +95,13 @@ def main_elements(elements: DataFrame, *, least_pages: int = 3, host_share: floa
     anywhere = here.groupBy("template").agg(F.sum("n_here").alias("n_all")).where(F.col("n_all") >= least_pages)
     facts = here.join(anywhere, "template").join(hosts, "host")
     common = ((F.col("n_here") >= least_pages) & (F.col("n_here") >= host_share * F.col("host_pages"))) | (F.col("n_all") >= share * n_pages)
-    facts = cut(facts.select(F.xxhash64("host", "template").alias("_k"), common.alias("common"), "usual", F.col("n_here").alias("n_rows")))
-    known = _looked_up(rows.drop("text_h", "begins", "heading").withColumn("_k", F.xxhash64("host", "template")), facts, "_k", total).drop("_k")
+    facts = facts.select(F.xxhash64("host", "template").alias("_k"), common.alias("common"), "usual", F.col("n_here").alias("n_rows"))
+    # a bare number without a tag may be a cell or a page number: its class tells, its template doesn't
+    by_class = F.xxhash64("host", "class", F.lit("class"))
+    classes = rows.where(F.col("class") != F.xxhash64(F.lit(""))).groupBy("host", "class").agg(F.mode("tag", True).alias("usual"), F.sum(F.col("bare").cast("long")).alias("n_rows")).where("n_rows > 0")
+    facts = cut(facts.unionByName(classes.select(by_class.alias("_k"), F.lit(False).alias("common"), "usual", "n_rows")))
+    key = F.when(F.col("bare"), by_class).otherwise(F.xxhash64("host", "template"))
+    known = _looked_up(rows.withColumn("_k", key).drop("text_h", "begins", "heading", "bare"), facts, "_k", total).drop("_k")
     known = known.withColumn("tag", F.coalesce("tag", "usual", F.lit(""))).drop("usual")
     link, content = F.col("tag").isin(*LINKS), F.col("tag").isin(*CONTENT)
     known = known.withColumn("common", F.coalesce("common", F.lit(False)) & ~content)

@@ -45,6 +45,17 @@ def test_main_elements(spark):
     assert maincontent.main_elements(spark.createDataFrame([], ELEMENTS)).count() == 0
 
 
+def test_main_elements_without_tags(spark):
+    rows, body = site()
+    rows = [(p, u, n, None if p == 5 and t in ("title", "h1") else t, c, x, y) for p, u, n, t, c, x, y in rows]
+    rows += [(p, f"http://somewhere.example/{p}", 30, "span", None, str(p), "x") for p in range(12)]
+    rows = [(p, u, n, None, c, "12.1", y) if (p, n) == (6, 10) else (p, u, n, t, c, x, y) for p, u, n, t, c, x, y in rows]
+    assert next(r for r in rows if r[:3:2] == (6, 10))[3] is None
+    got = {tuple(r) for r in maincontent.main_elements(spark.createDataFrame(rows, ELEMENTS)).collect()}
+    assert {e for e in got if e[0] == 5} == {e for e in body if e[0] == 5}
+    assert {e for e in body if e[0] == 6 and e[1] != 10} <= got and got <= body | {(6, 10)}
+
+
 TEXTS = "text_id long, url string, site string, text string, line_no int, key string"
 
 
