@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import url as U
+from strandline.session import arrow_map
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _DATA = frozenset(("script", "style"))
@@ -87,7 +88,7 @@ def own_text(pages: DataFrame, *, drop_nbsp: bool = True) -> DataFrame:
                     )
 
     wanted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return wanted.mapInArrow(run, "page_id long, url string, elem_no int, tag string, css_class string, text string, href string")
+    return arrow_map(wanted, run, "page_id long, url string, elem_no int, tag string, css_class string, text string, href string")
 
 
 def page_links(elements: DataFrame, *, clean: bool = True) -> DataFrame:

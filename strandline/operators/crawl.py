@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import url as U
-from strandline.session import cut, parallelism
+from strandline.session import arrow_map, cut, parallelism
 
 #: Hosts that skip the encyclopedia and cap tests, and what marks an encyclopedia's host.
 BYPASS = ("en.wikipedia.org", "www.amazon.com")
@@ -82,15 +84,22 @@ def check_robots(urls: DataFrame, robots: DataFrame, visited: DataFrame | None =
 def _delays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     host, last = None, None
     for batch in batches:
-        out = []
-        for h, t, delay in zip(batch["host"].to_pylist(), batch["t"].to_pylist(), batch["delay"].to_pylist()):
-            if h != host:
-                host, last = h, None
-            ok = h is None or last is None or not delay or t - last >= delay * 1_000_000
-            if ok and h is not None:
-                last = t
-            out.append(ok)
-        yield pa.RecordBatch.from_arrays([batch["host"], batch["t"], batch["n"], pa.array(out)], ["host", "t", "n", "accepted"])
+        t, delay = batch["t"].to_numpy(), batch["delay"].to_numpy() * 1_000_000
+        code = batch["host"].dictionary_encode().indices
+        known, code = code.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(code, -1).to_numpy()
+        accepted = ~known | (delay == 0)
+        edges = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(t) else []
+        for a, b in zip(edges, [*edges[1:], len(t)]):
+            name = batch["host"][int(a)].as_py()
+            if name != host:
+                host, last = name, None
+            if accepted[a]:
+                continue
+            at = a if last is None else a + int(np.searchsorted(t[a:b], last + delay[a]))
+            while at < b:  # from one accepted attempt to the next
+                accepted[at], last = True, int(t[at])
+                at += int(np.searchsorted(t[at:b], last + delay[a]))
+        yield pa.RecordBatch.from_arrays([batch["host"], batch["t"], batch["n"], pa.array(accepted)], ["host", "t", "n", "accepted"])
 
 
 def crawl_delay(attempts: DataFrame, delays: DataFrame) -> DataFrame:
@@ -104,7 +113,7 @@ def crawl_delay(attempts: DataFrame, delays: DataFrame) -> DataFrame:
     rows = attempts.where("ts is not null").groupBy("host", F.unix_micros("ts").alias("t")).agg(F.count(F.lit(1)).alias("n"))
     known = rows.join(delays.where("crawl_delay > 0").groupBy("host").agg(F.max("crawl_delay").alias("delay")), "host", "left")
     ordered = known.select("host", "t", "n", F.coalesce("delay", F.lit(0)).cast("long").alias("delay")).repartition(parallelism(attempts.sparkSession), "host").sortWithinPartitions("host", "t")
-    done = ordered.mapInArrow(_delays, "host string, t long, n long, accepted boolean")
+    done = arrow_map(ordered, _delays, "host string, t long, n long, accepted boolean")
     return done.select("host", F.timestamp_micros("t").alias("ts"), "n", "accepted")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.skew import salted_lookup
+from strandline.session import ship
 
 
 class Job(Protocol):
@@ -35,6 +36,7 @@ def run_job(pairs: DataFrame, job: Job) -> DataFrame:
                 out = pd.concat([combine(k, g["value"]) for k, g in out.groupby("key", dropna=False, sort=False)], ignore_index=True)
             yield out[["key", "value"]]
 
+    ship(pairs.sparkSession)
     rows = pairs.select(F.col("key").cast("string"), F.col("value").cast("string")).mapInPandas(mapped, _PAIR)
 
     def reduced(group: pd.DataFrame) -> pd.DataFrame:

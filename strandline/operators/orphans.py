@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import parallelism
+from strandline.session import arrow_map, parallelism
 
 FOREVER = np.iinfo(np.int64).max
 
@@ -101,13 +101,12 @@ def orphans(references: DataFrame, parents: DataFrame, *, rows_per_range: int =
     spark = references.sparkSession
     sure = references.select("table_name", F.col("record_id").cast("long").alias("record_id"), "key", F.unix_micros("seen_at").alias("t1")).where("key is not null")
     partitions = parallelism(spark)
-    bits = min(16, max(2, math.ceil(math.log2(max(16 * partitions, parents.count() / rows_per_range)))))
-    ranged: Column = F.shiftrightunsigned(F.col("h"), 64 - bits).cast("int")
+    bits = max(2, math.ceil(math.log2(max(16 * partitions, parents.count() / rows_per_range))))
+    ranged: Column = F.shiftrightunsigned(F.col("h"), 64 - bits)
     refs = sure.withColumn("h", F.xxhash64("key")).withColumn("range", ranged)
-    sizes = {r["range"]: r["count"] for r in refs.groupBy("range").count().collect()}  # one small row per range, 2**16 at most
-    total = sum(sizes.values())
-    fair = max(total / 2**bits * 4, total / 512, 50_000)  # so at most 512 ranges are hot
-    salts = {k: math.ceil(n / fair) for k, n in sizes.items() if n > fair}
+    total = references.count()
+    fair = max(total / 2**bits * 4, total / 512, 50_000)  # so at most 512 ranges are hot, and only those are collected
+    salts = {r["range"]: math.ceil(r["n"] / fair) for r in refs.groupBy("range").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fair).collect()}
     # the extra groups follow the 2**bits usual ones; a sparse literal map holds only the hot ranges
     base, offsets = 2**bits, {}
     for k, n in sorted(salts.items()):
@@ -128,11 +127,11 @@ def orphans(references: DataFrame, parents: DataFrame, *, rows_per_range: int =
         .withColumn("h", F.xxhash64("key"))
         .withColumn("range", ranged)
         .withColumn("copy", F.explode(copies))
-        .select(part(F.col("copy")).cast("int").alias("part"), F.lit(0).cast("byte").alias("kind"), "h", "key", "t1", "t2", F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("long").alias("record_id"))
+        .select(part(F.col("copy")).cast("long").alias("part"), F.lit(0).cast("byte").alias("kind"), "h", "key", "t1", "t2", F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("long").alias("record_id"))
     )
-    asked = refs.select(part(salt).cast("int").alias("part"), F.lit(1).cast("byte").alias("kind"), "h", "key", "t1", F.lit(None).cast("long").alias("t2"), "table_name", "record_id")
+    asked = refs.select(part(salt).cast("long").alias("part"), F.lit(1).cast("byte").alias("kind"), "h", "key", "t1", F.lit(None).cast("long").alias("t2"), "table_name", "record_id")
     both = held.unionByName(asked).repartition(partitions, "part").sortWithinPartitions("part", "kind")
-    missing = both.mapInArrow(_probe, "table_name string, record_id long, t1 long")
+    missing = arrow_map(both, _probe, "table_name string, record_id long, t1 long")
     return missing.distinct().select("table_name", "record_id", F.timestamp_micros("t1").alias("seen_at"))
 
 

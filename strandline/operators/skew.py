@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import parallelism
+
 
 def keyed_totals(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
     """``key, n_rows`` and ``aggregates`` per key, evenly spread whatever the keys' sizes.
@@ -26,23 +28,25 @@ def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     return keyed_totals(df.select(key), key).where(F.col(key).isNotNull() & (F.col("n_rows") >= F.lit(share) * total))
 
 
-def salted_lookup(rows: DataFrame, facts: DataFrame, key: str, spread: list[str], n: str = "n_rows", share: float = 0.002, fan: int = 64, total: int | None = None) -> DataFrame:
+def salted_lookup(rows: DataFrame, facts: DataFrame, key: str, spread: list[str], n: str = "n_rows", share: float | None = None, total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``facts`` (one row per ``key``, of which ``n`` rows exist).
 
-    Keys owning ``share`` of the rows or more are split by a hash of ``spread`` over up to ``fan``
-    salts, with their one fact row repeated for each. There are at most 1/share of them, which
-    bounds the broadcast list of hot keys. Null keys find nothing. ``total`` saves counting the rows
+    Keys owning ``share`` of the rows or more are split by a hash of ``spread`` into parts of that
+    size, with their one fact row repeated for each. ``share`` is 0.002, or half of a shuffle
+    partition's fair share if that is less, so a hot key keeps every task of a large cluster busy. There are at
+    most 1/share hot keys with 2/share salts in all, which bounds the broadcast list of hot keys. Null keys find nothing. ``total`` saves counting the rows
     where their number is known, say from a file's footer; it only steers the salting.
     """
-    left, right = salted(rows, facts, key, spread, n, share, fan, total)
+    left, right = salted(rows, facts, key, spread, n, share, total)
     return left.join(right.drop(n), [key, "_salt"]).drop("_salt")
 
 
-def salted(rows: DataFrame, facts: DataFrame, key: str, spread: list[str], n: str = "n_rows", share: float = 0.002, fan: int = 64, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+def salted(rows: DataFrame, facts: DataFrame, key: str, spread: list[str], n: str = "n_rows", share: float | None = None, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows`` and ``facts``, each with the ``_salt`` on which, and ``key``, to join them; see ``salted_lookup``."""
+    share = share or min(0.002, 0.5 / parallelism(rows.sparkSession))
     total = F.lit(total) if total is not None else facts.agg(F.coalesce(F.sum(n), F.lit(0))).scalar()
     hot = facts.where(F.col(n) >= F.greatest(F.lit(share) * total, F.lit(10_000))).select(
-        key, F.least(F.lit(fan), F.ceil(F.col(n) / (F.lit(share) * total))).cast("int").alias("_salts")
+        key, F.ceil(F.col(n) / F.greatest(F.lit(share) * total, F.lit(10_000))).cast("int").alias("_salts")
     )
     few = F.broadcast(hot)
     left = rows.join(few, key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts"))).cast("int")).drop("_salts")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from strandline.session import ship
+
 
 class Spout(Protocol):
     """One instance per partition: ``open`` gets its number and their count, ``next_rows`` yields tuples until done."""
@@ -36,6 +38,7 @@ class _Reader(DataSourceReader):
 
 def read_spout(spark: SparkSession, make: type, schema: str | StructType, parts: int = 1) -> DataFrame:
     """The rows of ``parts`` instances of a spout class."""
+    ship(spark)
     name = f"spout_{make.__name__.lower()}"
 
     class Source(DataSource):

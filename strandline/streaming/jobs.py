@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strandline.session import ship
+
 #: The words of the endless random source.
 RANDOM_WORDS = ("The", "quick", "brown", "fox", "jumps", "over", "dog")
 
@@ -60,6 +62,7 @@ def polite(attempts: DataFrame, delay_seconds: float, late: str = "10 seconds")
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(last // 1000 + delay_seconds * 1000)))
         yield pd.DataFrame({"host": key[0], "ts": rows["ts"].to_numpy(), "accepted": accepted})
 
+    ship(attempts.sparkSession)
     keyed = attempts.withWatermark("ts", late).groupBy("host")
     return keyed.applyInPandasWithState(step, "host string, ts timestamp, accepted boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
