@@ -84,6 +84,35 @@ def test_repeated_lines_without_broadcast(spark, monkeypatch):
     assert {(r["text_id"], r["line_no"]) for r in lines.repeated_lines(df).collect()} == {(i, 2) for i in range(9)}
 
 
+def test_summaries_miss_nothing_within_their_bound():
+    rng = np.random.default_rng(5)
+    true = {int(x): int(n) for x, n in zip(rng.choice(2**32, 3000, replace=False), rng.choice([1, 1, 1, 1, 2, 9, 40], 3000))}
+    stream = rng.permutation(np.repeat(np.array(list(true), np.uint32), list(true.values())))
+    for k in (4000, 1000, 300):
+        parts = []
+        for piece in np.array_split(stream, 7):
+            one = lines.Summary(k)
+            for some in np.array_split(piece, 5):
+                one.merge(*np.unique(some, return_counts=True))
+            parts.append(one)
+        whole = lines.Summary(k)
+        for one in parts:
+            whole.merge(*lines._unpacked(lines._packed(one.lines, one.counts)), one.error)
+        assert len(whole.lines) <= k and whole.error * (k + 1) <= len(stream) and (k < 4000 or whole.error == 0)
+        counted = dict(zip(whole.lines.tolist(), whole.counts.tolist()))
+        assert all(counted.get(x, 0) <= n <= counted.get(x, 0) + whole.error for x, n in true.items())
+        if whole.error < 9:
+            assert {x for x, n in true.items() if n >= 9} <= set(whole.candidates(9)[0].tolist())
+
+
+def test_repeated_lines_with_few_counters(spark):
+    """A summary that proves too small is made again with more slices."""
+    rng = random.Random(3)
+    rows = [(i, f"u{i}", "s" if i % 3 else f"t{i}", "\n".join([f"own {rng.getrandbits(40):x}" for _ in range(20)] + ["share this page"]), 0, "") for i in range(120)]
+    df = spark.createDataFrame(rows, TEXTS)
+    assert {(r["text_id"], r["line_no"]) for r in lines.repeated_lines(df, k=16).collect()} == {(i, 21) for i in range(120) if i % 3}
+
+
 def naive_words(text):
     import regex
 
