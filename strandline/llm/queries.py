@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import distinctive, encoding, leaks, lines, maincontent, mixing, rankmerge, seen
-from strandline.session import table
+from strandline.session import cut, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,6 +54,17 @@ def p6_errors(spark: SparkSession, folder: str) -> DataFrame:
     return seen.error_report(_arrivals(spark, folder))
 
 
+def p6_bound(spark: SparkSession, folder: str) -> DataFrame:
+    """The parts of the chains' report that don't depend on hashes."""
+    report = seen.error_report(_arrivals(spark, folder))
+    return report.select("table_name", "n_rows", (F.col("n_seen") - F.col("n_wrong")).alias("n_repeats"), (F.col("wrong_share") <= F.col("bound")).alias("within_bound"))
+
+
+def p6_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """The chains' own answers, false ones included."""
+    return seen.seen_before(_arrivals(spark, folder), exact=False)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return lines.repeated_lines(table(spark, folder, "page_texts")).select("text_id", "line_no")
 
@@ -74,19 +85,9 @@ def p8_near(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"), edits=2)
 
 
-def _topic(text) -> object:
-    """Kind of a crawled text by its form: link lists, crawl rules, fetch reports, the rest."""
-    return (
-        F.when(F.contains(text, F.lit("\nDisallow: ")), "rules")
-        .when(F.regexp_like(text, F.lit(r"\d\d:\d\d:\d\d GET http")), "reports")
-        .when(F.regexp_like(text, F.lit(r"\n1\. [^\n]+\nhttp")), "results")
-        .otherwise("articles")
-    )
-
-
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
-    return mixing.mix(documents.withColumn("topic", _topic(F.col("text"))), targets), targets
+    return mixing.mix(documents, targets), targets
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,6 +98,17 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(*_mix(spark, folder))
 
 
+def p9_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the mix whatever is drawn: caps kept; each source at its share but for one document, or without documents, or drawn up to its cap."""
+    drawn, targets = _mix(spark, folder)
+    drawn = cut(drawn)
+    total = drawn.agg(F.sum(F.col("n_tokens") * F.col("copies"))).scalar()
+    one = drawn.agg(F.max("n_tokens")).scalar()
+    got = mixing.shares(drawn, targets).join(targets.select("source", "max_repeats"), "source")
+    near = F.col("actual_share") * total >= F.col("target_share") / targets.agg(F.sum("target_share")).scalar() * total - one - 1
+    return got.select("source", "target_share", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), (near | F.col("capped") | (F.col("n_docs") == 0)).alias("reached"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.garbled(table(spark, folder, "documents")).select("doc_id")
 
@@ -107,7 +119,7 @@ def p10_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_scores, p2_found, p2_ranks, p4_found, p4_texts, p6_found, p6_errors, p7_found, p7_texts, p8_found, p8_items, p8_near, p9_mix, p9_shares, p10_found, p10_repaired)
+    for f in (p1_found, p1_scores, p2_found, p2_ranks, p4_found, p4_texts, p6_found, p6_chain, p6_errors, p6_bound, p7_found, p7_texts, p8_found, p8_items, p8_near, p9_mix, p9_shares, p9_bounds, p10_found, p10_repaired)
 }
 
 _SCORES = """
@@ -143,21 +155,24 @@ dw AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id
 iw AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM itoks)),
 pairs AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g))"""
 
+_ARRIVALS = f"""
+a AS (SELECT DISTINCT 'frontier_urls' AS table_name, frontier_seq AS record_id, {_KEY} AS key FROM frontier_urls WHERE url IS NOT NULL
+  UNION ALL SELECT DISTINCT 'out_links', outlink_id, {_KEY} FROM out_links WHERE url IS NOT NULL),
+f AS (SELECT *, min(record_id) OVER (PARTITION BY table_name, key) AS first FROM a)"""
+
 ORACLES = {
     "p1_found": f"WITH {_SCORES} SELECT url_hash, word FROM scores WHERE n_terms >= 8 QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY score DESC, word) = 1",
     "p1_scores": f"WITH {_SCORES} SELECT * FROM scores",
     "p2_found": f"WITH {_RANKS} SELECT query_id, url FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY mid, url) <= 3",
     "p2_ranks": f"WITH {_RANKS} SELECT query_id, url, rank_weight, rank_pagerank, round(mid, 6) AS median_rank, round(mid, 6) AS mean_rank FROM m",
-    "p6_found": f"""
-WITH a AS (SELECT 'frontier_urls' AS table_name, frontier_seq AS record_id, {_KEY} AS key FROM frontier_urls WHERE url IS NOT NULL
-  UNION ALL SELECT 'out_links', outlink_id, {_KEY} FROM out_links WHERE url IS NOT NULL),
-f AS (SELECT *, min(record_id) OVER (PARTITION BY table_name, key) AS first FROM a)
-SELECT DISTINCT table_name, record_id FROM f WHERE record_id > first""",
+    "p6_found": f"WITH {_ARRIVALS} SELECT DISTINCT table_name, record_id FROM f WHERE record_id > first",
+    "p6_bound": f"WITH {_ARRIVALS} SELECT table_name, count(*) AS n_rows, count(*) FILTER (WHERE record_id > first) AS n_repeats, true AS within_bound FROM f GROUP BY 1",
     "p7_found": f"WITH {_REPEATED} SELECT text_id, line_no FROM found",
     "p7_texts": f"""
 WITH {_REPEATED}, gone AS (SELECT text_id, list(line_no) AS nos FROM found GROUP BY 1)
 SELECT p.text_id, array_to_string([x for x, i in string_split(text, chr(10)) if NOT list_contains(coalesce(nos, []), i)], chr(10)) AS text,
   coalesce(len(nos), 0)::INT AS n_removed FROM page_texts p LEFT JOIN gone USING (text_id)""",
     "p8_found": f"WITH {_SHARED} SELECT doc_id, item_id FROM pairs",
+    "p9_bounds": "SELECT source, target_share, true AS within_cap, true AS reached FROM mix_targets WHERE source IS NOT NULL",
     "p8_items": f"WITH {_SHARED} SELECT item_id, count(*) AS n_docs FROM pairs GROUP BY 1",
 }

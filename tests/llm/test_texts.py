@@ -108,7 +108,7 @@ def test_summaries_miss_nothing_within_their_bound():
 def test_repeated_lines_with_few_counters(spark):
     """A summary that proves too small is made again with more slices."""
     rng = random.Random(3)
-    rows = [(i, f"u{i}", "s" if i % 3 else f"t{i}", "\n".join([f"own {rng.getrandbits(40):x}" for _ in range(20)] + ["share this page"]), 0, "") for i in range(120)]
+    rows = [(i, f"u{i}", "s" if i % 3 else f"t{i}", "\n".join(["own " + "".join(rng.choices("abcdefgh", k=12)) for _ in range(20)] + ["share this page"]), 0, "") for i in range(120)]
     df = spark.createDataFrame(rows, TEXTS)
     assert {(r["text_id"], r["line_no"]) for r in lines.repeated_lines(df, k=16).collect()} == {(i, 21) for i in range(120) if i % 3}
 
@@ -300,6 +300,31 @@ def test_mix_reaches_its_shares_within_caps(spark):
     assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.mix(docs, targets.limit(0)).count() == 0
 
 
+def test_mix_hands_on_what_capped_sources_lack(spark):
+    import pandas as pd
+
+    share, room = pd.Series({"a": 0.6, "b": 0.3, "c": 0.1}), pd.Series({"a": 1000.0, "b": 30.0, "c": 5.0})
+    assert mixing.amounts(share, room, 100.0).to_dict() == pytest.approx({"a": 65.0, "b": 30.0, "c": 5.0})
+    assert mixing.amounts(share, room, 1035.0).to_dict() == pytest.approx(room.to_dict())
+    docs, targets = mix_data(spark)
+    starved = targets.replace(4, 1, ["max_repeats"])
+    drawn = mixing.mix(docs, starved)
+    got = {r["source"]: r for r in mixing.shares(drawn, starved).collect()}
+    assert got["c"]["capped"] and got["c"]["actual_share"] < 0.1 and got["a"]["actual_share"] > 0.55 and not got["b"]["capped"]
+    drawn_tokens = sum(r["n_tokens"] for r in got.values())
+    small = mixing.shares(mixing.mix(docs, starved, total_tokens=drawn_tokens // 4), starved).collect()
+    assert sum(r["n_tokens"] for r in small) == pytest.approx(drawn_tokens / 4, rel=0.05)
+    kept = {r["source"]: r["actual_share"] for r in mixing.shares(mixing.mix(docs, starved, keep_shares=True), starved).collect()}
+    assert all(kept[s] == pytest.approx(w / 0.9, abs=0.03) for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.1)))
+
+
+def test_mix_meets_language_targets(spark):
+    docs, targets = mix_data(spark)
+    drawn = mixing.mix(docs, targets, total_tokens=1500, marginals={"lang": {"en": 0.6}})
+    langs = {r["lang"]: r["n"] for r in drawn.join(docs.select("doc_id", "lang").distinct(), "doc_id").groupBy("lang").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()}
+    assert langs["en"] / sum(langs.values()) == pytest.approx(0.6, abs=0.08)
+
+
 def test_raking_meets_the_last_marginal():
     import pandas as pd
 
@@ -337,6 +362,39 @@ def test_seen_before_matches_a_set(spark):
     assert loose >= earlier(rows)
 
 
+def test_history_in_batches_equals_one_batch(spark, tmp_path):
+    rows = sorted(arrivals(), key=lambda r: r[1])
+    folder = f"file://{tmp_path}/history"
+    options = {"first_layer": 64, "error": 0.05}
+    got, loose = set(), set()
+    for a in range(0, len(rows), 1000):
+        history = seen.History(spark, folder, audit=True, shards=8, **options)  # reads what the batch before left
+        batch = spark.createDataFrame(rows[a : a + 1000], ROWS)
+        got |= {tuple(r) for r in seen.seen_before(batch, history=history).collect()}
+    assert history.version == 3 and got == earlier(rows)
+    plain = f"file://{tmp_path}/plain"
+    for a in range(0, len(rows), 2000):
+        batch = spark.createDataFrame(rows[a : a + 2000], ROWS)
+        loose |= {tuple(r) for r in seen.seen_before(batch, exact=False, history=seen.History(spark, plain, shards=8, **options)).collect()}
+    assert loose >= earlier(rows) and len(loose) <= len(earlier(rows)) + 0.05 * len(rows)
+    with pytest.raises(ValueError):
+        seen.seen_before(batch, history=seen.History(spark, plain))
+    assert seen.seen_before(batch.limit(0), exact=False, history=seen.History(spark, plain)).count() == 0
+    last = seen.error_report(batch, history=seen.History(spark, folder)).collect()
+    assert all(r["n_seen"] - r["n_wrong"] == r["n_rows"] for r in last)
+
+
+def test_chain_is_stored_and_restored():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    whole, part = seen.BloomChain(0.01, first=256), seen.BloomChain(0.01, first=256)
+    for a in range(0, len(keys), 1000):
+        whole.add(keys[a : a + 1000])
+        part.add(keys[a : a + 1000])
+        part = seen._chains([{"layer": i, "bits": b, "room": r} for i, (b, r) in enumerate(part.state())], {"error": 0.01, "first": 256})
+    assert [b for b, _ in part.state()] == [b for b, _ in whole.state()] and part.room == whole.room
+
+
 def test_error_report(spark):
     rows = arrivals()
     got = {r["table_name"]: r for r in seen.error_report(spark.createDataFrame(rows, ROWS), error=0.01).collect()}
