@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import arrow_map
+
 #: Characters handled at once by a Python worker, which bounds its memory (one longer text goes alone).
 SLICE = 4_000_000
 #: Windows of items per broadcast index: about 200 bytes each with all repetitions. More items make more blocks.
@@ -212,7 +214,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, window: int = 12, edits: in
                     yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a).take(pa.array(place)), pa.array(item, pa.int64()), pa.array(edited, pa.int32())], ["doc_id", "item_id", "edits"])
                     a = b
 
-        one = texts.mapInArrow(run, "doc_id long, item_id long, edits int")
+        one = arrow_map(texts, run, "doc_id long, item_id long, edits int")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 

@@ -276,6 +276,43 @@ def test_every_page_key_is_detected(spark):
     assert not [clean[i] for i in found if i < 10_000] and not [b for i, b in enumerate(bad) if 10_000 + i not in found]
 
 
+GREEK = ["Γιατί η παλιά γέφυρα κοντά στην πόλη είναι τόσο στενή", "Οι κάτοικοι ξέρουν ότι το θέατρο έχει ήδη κλείσει για επισκευή", "Η περιγραφή της αγοράς πιάνει πολλές σελίδες στο βιβλίο"]
+UNLISTED = [("cp1252", "iso8859_7", GREEK), ("mac_cyrillic", "koi8_r", RUSSIAN), ("cp437", "cp1251", RUSSIAN), ("iso8859_15", "cp1250", POLISH), ("cp1253", "cp1251", RUSSIAN)]
+
+
+def test_unlisted_ciphers_are_learned(spark):
+    assert not {(a, b) for a, b, _ in UNLISTED} & set(encoding.PAGES_READ_AS)
+    clean = [("all", t) for t in (RUSSIAN + POLISH + FRENCH + JAPANESE + GREEK) * 30] + [("hebrew", "שלום עולם זה טקסט נקי בעברית"), ("thai", "นี่คือข้อความภาษาไทยที่สะอาด")] * 5
+    bad = [(f"s{i}" if one else "mixed", misread(t, (a, b)), t, (a, b)) for one in (True, False) for i, (a, b, texts) in enumerate(UNLISTED) if one or i < 2 for t in texts]
+    rows = [(i, s, t) for i, (s, t) in enumerate(clean)] + [(10_000 + i, x[0], x[1]) for i, x in enumerate(bad)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    fixed = {r["doc_id"]: r["text"] for r in encoding.repaired(df).collect()}
+    assert not [clean[i] for i in fixed if i < 10_000]
+    assert not [x for i, x in enumerate(bad) if 10_000 + i not in fixed]
+    assert not [(fixed[10_000 + i], x) for i, x in enumerate(bad) if fixed[10_000 + i] != x[2]]
+
+
+def test_emission_is_learned_without_code_pages():
+    """Expectation maximisation alone, from an even start, finds what most letters stand for."""
+    rng = np.random.default_rng(1)
+    letters, n_ascii = 12, 3
+    joint = rng.dirichlet(np.full((letters + n_ascii) ** 2, 0.15)).reshape(letters + n_ascii, -1)
+    secret = rng.permutation(letters)
+    counts = np.zeros_like(joint)
+    sign = np.r_[np.arange(n_ascii), n_ascii + secret]
+    for (a, b), k in np.ndenumerate(rng.multinomial(60_000, joint.ravel()).reshape(joint.shape)):
+        counts[sign[a], sign[b]] += k
+    emit, _ = encoding._em(counts, np.ones((letters, letters)) + 0.01 * rng.random((letters, letters)), joint, n_ascii, rounds=300)
+    assert (np.argmax(emit, axis=1) == secret).mean() >= 0.75
+
+
+def test_deeply_garbled_text_is_unrolled():
+    text = wrong = "L’été où la forêt brûlait"
+    for _ in range(6):
+        wrong = "".join(encoding._page("cp1252")[1][b] for b in wrong.encode("utf-8"))
+    assert encoding.restore(wrong, "utf-8>cp1252") == text
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_tokens int"
 
 
