@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns of the index (fixed values): a token, a token of the first version, how a word of an n-gram starts, a number, a bracket escape.
+#: Patterns of the index (fixed values): a token, a token of the first version, how a word of an n-gram starts, a bracket escape.
 TOKEN = r"^[a-z0-9]+[.@&-]*[a-z0-9]+$"
 TOKEN_V1 = r"^[a-z0-9.@-]+$"
 NGRAM_WORD = r"^[a-z0-9]+[.@&-]*[a-z0-9]+"
-NUMBER = r"^[0-9]+,*[0-9]*$"
 BRACKET = r"^-[lr][rsc]b-$"
 #: Words never indexed.
 STOP_WORDS = tuple(
@@ -27,12 +27,17 @@ wasn't we we'd we'll we're we've were weren't what what's when when's where wher
 won't would wouldn't you you'd you'll you're you've your yours yourself yourselves two three four five six seven eight nine ten
 na ago""".split()
 )
+_GAP = r"[ \t\r\n]+"
 _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
+def _clean(word: Column) -> Column:
+    return F.when(F.regexp_like(word, F.lit(BRACKET)), F.lit("")).otherwise(F.regexp_replace(word, _EDGES, ""))
+
+
 def raw_tokens(text: Column) -> Column:
     """Lower-cased words between white space, outer punctuation stripped; a word of punctuation alone is empty. Null stays null."""
-    return F.transform(F.split(F.lower(text), r"[ \t\r\n]+"), lambda w: F.when(F.regexp_like(w, F.lit(BRACKET)), F.lit("")).otherwise(F.regexp_replace(w, _EDGES, "")))
+    return F.transform(F.split(F.lower(text), _GAP), _clean)
 
 
 def is_token(word: Column, pattern: str = TOKEN) -> Column:
@@ -69,35 +74,40 @@ def lemmatiser(model: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Co
     return F.pandas_udf(model, "string")
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """``array<struct<pos, ngram>>`` of ``n`` neighbouring words that each begin like a token; others break the chain."""
-    def joined(i: Column) -> Column:
-        return F.array_join(F.slice(words, i + 1, n), " ")
+def ngram_rows(texts: DataFrame, keep: list[str], words: str, n: int) -> DataFrame:
+    """``keep, pos, ngram`` of ``n`` neighbouring words that each begin like a token; others break the chain.
 
-    size = F.size(words)
-    starts = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-    whole = F.filter(starts, lambda i: F.forall(F.slice(words, i + 1, n), lambda w: F.regexp_like(w, F.lit(NGRAM_WORD))))
-    return F.transform(whole, lambda i: F.struct(i.alias("pos"), joined(i).alias("ngram")))
+    The word array is zipped with itself, shifted, and exploded once: no lambda, so it stays in generated code.
+    """
+    shifted = F.arrays_zip(F.col(words).alias("w0"), *[F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0))).alias(f"w{i}") for i in range(1, n)])
+    rows = texts.select(*keep, F.posexplode(shifted).alias("pos", "_w"))
+    parts = [F.col("_w").getField(f"w{i}") for i in range(n)]
+    whole = F.lit(True)
+    for w in parts:
+        whole = whole & F.coalesce(F.regexp_like(w, F.lit(NGRAM_WORD)), F.lit(False))
+    return rows.where(whole).select(*keep, "pos", F.concat_ws(" ", *parts).alias("ngram"))
 
 
-def dictionary_ngrams(texts: DataFrame, keep: list[str], text: str, dictionary: DataFrame, n: int) -> DataFrame:
-    """``keep, pos, ngram`` of the n-grams found in ``dictionary(ngram)``; found inside each row, then one semi join."""
-    rows = texts.select(*keep, F.explode(ngrams(raw_tokens(F.col(text)), n)).alias("g")).select(*keep, "g.pos", "g.ngram")
-    return rows.join(dictionary.select("ngram"), "ngram", "left_semi").select(*keep, "pos", "ngram")
+def dictionary_ngrams(texts: DataFrame, keep: list[str], words: str, dictionary: DataFrame, n: int) -> DataFrame:
+    """``keep, pos, ngram`` of the n-grams of the word arrays found in ``dictionary(ngram)``; found inside each row, then one semi join."""
+    return ngram_rows(texts, keep, words, n).join(dictionary.select("ngram"), "ngram", "left_semi").select(*keep, "pos", "ngram")
 
 
 def token_rows(texts: DataFrame, keep: list[str], text: str, pattern: str = TOKEN) -> DataFrame:
-    """``keep, pos, token``: the indexed words of each text with their place among all its words."""
-    words = texts.select(*keep, F.posexplode(raw_tokens(F.col(text))).alias("pos", "token"))
-    return words.where(keeps(F.col("token"), pattern))
+    """``keep, pos, token``: the indexed words of each text with their place among all its words. Words are cleaned one a row, in generated code."""
+    words = texts.select(*keep, F.posexplode(F.split(F.lower(F.col(text)), _GAP)).alias("pos", "token"))
+    return words.withColumn("token", _clean(F.col("token"))).where(keeps(F.col("token"), pattern))
 
 
-def query_terms(query: str, dictionary: set[str], stop: tuple[str, ...] = STOP_WORDS) -> list[str]:
-    """Terms of a search: dictionary bigrams and trigrams of all its words, then its single words without stop words."""
-    import re
+def query_terms(query: str, dictionary: Callable[[list[str]], set[str]] | set[str], stop: tuple[str, ...] = STOP_WORDS) -> list[str]:
+    """Terms of a search: dictionary bigrams and trigrams of all its words, then its single words without stop words.
 
-    words = [re.sub(r"^[^\w]+|[^\w]+$", "", w) for w in query.lower().split()]
+    Words are cleaned as those of the index are. ``dictionary`` is a set of n-grams, or a function
+    that picks the known ones of a few candidates.
+    """
+    words = [regex.sub(_EDGES, "", "" if regex.match(BRACKET, w) else w) for w in regex.split(_GAP, query.lower())]
     runs = [words[i : i + n] for n in (2, 3) for i in range(len(words) - n + 1)]
-    grams = [" ".join(r) for r in runs if all(re.match(NGRAM_WORD, w) for w in r)]
-    single = [w for w in words if re.match(TOKEN, w) and re.search("[a-z]", w) and w not in stop]
-    return list(dict.fromkeys([g for g in grams if g in dictionary] + single))
+    grams = [" ".join(r) for r in runs if all(regex.match(NGRAM_WORD, w) for w in r)]
+    known = dictionary(grams) if callable(dictionary) else dictionary
+    single = [w for w in words if regex.fullmatch(TOKEN, w) and regex.search("[a-z]", w) and w not in stop]
+    return list(dict.fromkeys([g for g in grams if g in known] + single))

@@ -46,7 +46,7 @@ class Links:
     def __init__(self, edges: DataFrame):
         self.edges = cut(edges)
         degree = cut(self.edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_rows")))
-        placed, sources = salted(self.edges, degree, "src", ["dst"], total=self.edges.count())
+        placed, sources = salted(self.edges, degree, "src", ["dst"])
         self.placed, self.sources = placed, sources
 
     def contributions(self, ranks: DataFrame) -> DataFrame:
@@ -59,23 +59,38 @@ def contributions(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     return Links(edges).contributions(ranks)
 
 
+#: Ranks are summed in whole grains, so a sum doesn't depend on the order in which tasks deliver its parts.
+GRAIN = 1e-9
+
+
 def pagerank_step(links: Links, ranks: DataFrame, d: float = 0.85, damping_power: int = 1, teleport_all: bool = False) -> DataFrame:
-    """One iteration, ``(1 - d) + d**damping_power * sum`` over in-links.
+    """``id, rank, moved`` after one iteration, ``(1 - d) + d**damping_power * sum`` over in-links; ``moved`` is the change.
 
-    A vertex without in-links keeps its rank, or gets ``1 - d`` with ``teleport_all``.
+    A vertex without in-links keeps its rank, or gets ``1 - d`` with ``teleport_all``. Contributions are
+    rounded to ``GRAIN`` and summed as integers: a lost executor's work done again gives the same ranks. A
+    sum above 9.2e9 raises an overflow error.
     """
-    sums = links.contributions(ranks).groupBy(F.col("dst").alias("id")).agg(F.sum("contrib").alias("s"))
+    grains = F.floor(F.col("contrib") / F.lit(GRAIN) + 0.5).cast("long")
+    sums = links.contributions(ranks.select("id", "rank")).groupBy(F.col("dst").alias("id")).agg((F.sum(grains) * F.lit(GRAIN)).alias("s"))
     new = F.lit(1 - d) + F.lit(d**damping_power) * F.col("s")
-    return ranks.join(sums, "id", "left").select("id", F.coalesce(new, F.lit(1 - d) if teleport_all else F.col("rank")).alias("rank"))
+    stepped = ranks.select("id", F.col("rank").alias("_old")).join(sums, "id", "left").select("id", F.coalesce(new, F.lit(1 - d) if teleport_all else F.col("_old")).alias("rank"), "_old")
+    return stepped.select("id", "rank", F.abs(F.col("rank") - F.col("_old")).alias("moved"))
 
 
-def pagerank(edges: DataFrame, *, iterations: int = 15, d: float = 0.85, damping_power: int = 1, init_rank: float = 100.0, teleport_all: bool = False) -> DataFrame:
-    """``id, rank`` after ``iterations`` over distinct ``src, dst``; a round's ranks go to the shared folder, as the next uses them twice."""
+def pagerank(edges: DataFrame, *, iterations: int = 15, d: float = 0.85, damping_power: int = 1, init_rank: float = 100.0, teleport_all: bool = False, tolerance: float | None = None) -> DataFrame:
+    """``id, rank`` after ``iterations`` over distinct ``src, dst``, or fewer once no rank moves by more than ``tolerance``.
+
+    A round's ranks go to the shared folder, as the next one uses them twice.
+    """
     links = Links(edges)
     ranks = start_ranks(links.edges, init_rank)
     for i in range(iterations):
-        ranks = pagerank_step(links, cut(ranks) if i else ranks, d, damping_power, teleport_all)
-    return ranks
+        last = i == iterations - 1 and tolerance is None
+        stepped = pagerank_step(links, ranks, d, damping_power, teleport_all)
+        ranks = stepped if last else cut(stepped)
+        if tolerance is not None and (ranks.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            break
+    return ranks.select("id", "rank")
 
 
 def lookup(ranks: DataFrame, ids: list[str]) -> DataFrame:

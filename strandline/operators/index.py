@@ -10,16 +10,22 @@ from strandline.operators.skew import salted_lookup
 from strandline.session import cut
 
 
+def tokenised(elements: DataFrame, doc: str = "page_id") -> DataFrame:
+    """``doc, elem_no, tag, words``, written once: dictionaries, single words and n-grams all start from it."""
+    return cut(elements.select(doc, "elem_no", "tag", T.raw_tokens(F.col("text")).alias("words")))
+
+
 def page_terms(elements: DataFrame, dictionaries: dict[int, DataFrame] | None = None, doc: str = "page_id") -> DataFrame:
     """``doc, term, n, is_title`` of each page: its tokens and the dictionary n-grams of its elements.
 
-    ``elements``: ``doc, elem_no, tag, text``. A token has the title flag if it occurs in a ``title``
-    element, an n-gram only if its first occurrence does.
+    ``elements``: ``doc, elem_no, tag`` and ``text``, or ``words`` as ``tokenised`` has them. A token has the
+    title flag if it occurs in a ``title`` element, an n-gram only if its first occurrence does.
     """
-    words = T.token_rows(elements.select(doc, (F.col("tag") == "title").alias("t"), "text"), [doc, "t"], "text")
-    single = words.groupBy(doc, F.col("token").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("t"), F.lit(False)).alias("is_title"))
+    elements = elements if "words" in elements.columns else tokenised(elements, doc)
+    words = elements.select(doc, (F.col("tag") == "title").alias("t"), F.explode("words").alias("term")).where(T.keeps(F.col("term")))
+    single = words.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("t"), F.lit(False)).alias("is_title"))
     for n, dictionary in (dictionaries or {}).items():
-        grams = T.dictionary_ngrams(elements, [doc, "elem_no", "tag"], "text", dictionary, n)
+        grams = T.dictionary_ngrams(elements, [doc, "elem_no", "tag"], "words", dictionary, n)
         first = F.min(F.struct("elem_no", "pos", (F.coalesce(F.col("tag"), F.lit("")) != "title").alias("other")))
         one = grams.groupBy(doc, F.col("ngram").alias("term")).agg(F.count(F.lit(1)).alias("n"), first.alias("f"))
         single = single.unionByName(one.select(doc, "term", "n", (~F.col("f.other")).alias("is_title")))
@@ -29,11 +35,10 @@ def page_terms(elements: DataFrame, dictionaries: dict[int, DataFrame] | None =
 def term_frequency(terms: DataFrame, doc: str = "page_id") -> DataFrame:
     """``terms`` with ``max_n`` and ``tf = n / max_n`` (5 digits), ``max_n`` being the page's largest count, 1 at least.
 
-    Terms cost a tokenisation and are needed twice, so they are written once.
+    A page's different terms meet in one task, as a window over them; they are one page's vocabulary.
     """
-    terms = cut(terms)
-    most = terms.groupBy(doc).agg(F.greatest(F.max("n"), F.lit(1)).alias("max_n"))
-    return terms.join(most, doc).withColumn("tf", F.round(F.col("n") / F.col("max_n"), 5))
+    most = F.greatest(F.max("n").over(Window.partitionBy(doc)), F.lit(1))
+    return terms.withColumn("max_n", most).withColumn("tf", F.round(F.col("n") / F.col("max_n"), 5))
 
 
 def positions(rows: DataFrame, key: str, order: list[str], bucket: Column) -> DataFrame:

@@ -41,6 +41,29 @@ def salted_lookup(rows: DataFrame, facts: DataFrame, key: str, spread: list[str]
     return left.join(right.drop(n), [key, "_salt"]).drop("_salt")
 
 
+#: Facts are broadcast only while their measured size is at most this many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
+def bounded_lookup(rows: DataFrame, facts: DataFrame, key: str, spread: list[str], n: str = "n_rows", total: int | None = None) -> DataFrame:
+    """``salted_lookup``, but facts whose measured size is within ``BROADCAST_BYTES`` are broadcast, so that ``rows`` stay where they are.
+
+    ``facts`` should be a written table (``cut``), as it is read to be measured.
+    """
+    size = facts.agg(F.sum(F.length(F.col(key).cast("string")) + 16 * len(facts.columns) + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(facts.drop(n)), key)
+    return salted_lookup(rows, facts, key, spread, n, total=total)
+
+
+def hot_salts(rows: DataFrame, key: str, total: int, share: float | None = None) -> DataFrame:
+    """``key, _salts`` of the non-null keys that own ``share`` of ``rows`` or more, each to be split into parts of that size."""
+    share = share or min(0.002, 0.5 / parallelism(rows.sparkSession))
+    fair = max(share * total, 10_000)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") >= fair).select(key, F.ceil(F.col("_n") / fair).cast("int").alias("_salts"))
+
+
 def salted(rows: DataFrame, facts: DataFrame, key: str, spread: list[str], n: str = "n_rows", share: float | None = None, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows`` and ``facts``, each with the ``_salt`` on which, and ``key``, to join them; see ``salted_lookup``."""
     share = share or min(0.002, 0.5 / parallelism(rows.sparkSession))

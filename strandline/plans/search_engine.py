@@ -49,8 +49,9 @@ def _urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _dictionary(elements: DataFrame, n: int) -> DataFrame:
-    titles = elements.where("tag = 'title'").select("page_id", F.explode(T.ngrams(T.raw_tokens(F.col("text")), n)).alias("g"))
-    return titles.select("page_id", "g.ngram").distinct().groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("ngram")
+    """N-grams of three titles or more, of elements as ``index.tokenised`` has them."""
+    titles = T.ngram_rows(elements.where("tag = 'title'"), ["page_id"], "words", n)
+    return titles.select("page_id", "ngram").distinct().groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("ngram")
 
 
 def _first_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +142,7 @@ def sum_weights(spark, folder):
 
 
 def _terms(spark, folder):
-    elements = _elements(spark, folder)
+    elements = index.tokenised(_elements(spark, folder))
     return index.page_terms(elements, {n: _dictionary(elements, n) for n in (2, 3)})
 
 
@@ -157,14 +158,14 @@ def title_flag(spark, folder):
 
 @_query(f"WITH {_ELEMENT_WORDS}, {_GRAMS} SELECT page_id, elem_no, pos, ngram FROM g2 SEMI JOIN d2 USING (ngram)")
 def ngrams2(spark, folder):
-    elements = _elements(spark, folder)
-    return T.dictionary_ngrams(elements, ["page_id", "elem_no"], "text", _dictionary(elements, 2), 2)
+    elements = index.tokenised(_elements(spark, folder))
+    return T.dictionary_ngrams(elements, ["page_id", "elem_no"], "words", _dictionary(elements, 2), 2)
 
 
 @_query(f"WITH {_ELEMENT_WORDS}, {_GRAMS} SELECT page_id, elem_no, pos, ngram FROM g3 SEMI JOIN d3 USING (ngram)")
 def ngrams3(spark, folder):
-    elements = _elements(spark, folder)
-    return T.dictionary_ngrams(elements, ["page_id", "elem_no"], "text", _dictionary(elements, 3), 3)
+    elements = index.tokenised(_elements(spark, folder))
+    return T.dictionary_ngrams(elements, ["page_id", "elem_no"], "words", _dictionary(elements, 3), 3)
 
 
 @_query(r"SELECT doc_id, len(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', E'\\1\n', 'g'), '\n+'))::INT AS n_sentences FROM documents WHERE text IS NOT NULL")
@@ -330,9 +331,9 @@ def back_edge_sources(spark, folder):
 
 
 def _rank_sql(steps: int, power: int = 1) -> str:
-    out = f"WITH {_REPAIRED_SQL}, deg AS (SELECT src, count(*) AS k FROM r GROUP BY 1), r0 AS (SELECT id, 100.0::DOUBLE AS rank FROM (SELECT src AS id FROM r UNION SELECT dst FROM r))"
+    out = f"WITH {_REPAIRED_SQL}, deg AS (SELECT src, count(*)::DOUBLE AS k FROM r GROUP BY 1), r0 AS (SELECT id, 100.0::DOUBLE AS rank FROM (SELECT src AS id FROM r UNION SELECT dst FROM r))"
     for i in range(1, steps + 1):
-        out += f""", s{i} AS (SELECT r.dst AS id, sum(rank / k) AS s FROM r JOIN deg USING (src) JOIN r{i - 1} q ON q.id = r.src GROUP BY 1),
+        out += f""", s{i} AS (SELECT r.dst AS id, sum(floor(rank / k / 1e-9::DOUBLE + 0.5::DOUBLE)::BIGINT)::DOUBLE * 1e-9::DOUBLE AS s FROM r JOIN deg USING (src) JOIN r{i - 1} q ON q.id = r.src GROUP BY 1),
 r{i} AS (SELECT q.id, coalesce((1 - 0.85)::DOUBLE + pow(0.85, {power}) * s, rank) AS rank FROM r{i - 1} q LEFT JOIN s{i} USING (id))"""
     return f"{out} SELECT id, round(rank, 4) AS rank FROM r{steps}"
 
