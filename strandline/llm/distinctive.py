@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.skew import salted_lookup
+from strandline.operators.skew import bounded_lookup, hot_salts
+from strandline.session import cut
 
 
 def _part(k: Column, expected: Column) -> Column:
@@ -36,18 +37,22 @@ def _unpacked(key: Column) -> Column:
 
 
 def _scores(postings: DataFrame, record: str, term: str, weight: str) -> DataFrame:
+    """One shuffle by record: repeated cells meet in it, and a record's sums are taken where its cells lie. A hot record is split by term."""
+    rows = postings.select(_packed(F.col(record)).alias("_r"), F.col(term).alias("_t"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("_w")).where("_r is not null and _t is not null")
     n = postings.count()  # steers the salting only
-    cells = (
-        postings.select(_packed(F.col(record)).alias("_r"), F.col(term).alias("_t"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("_w"))
-        .where("_r is not null and _t is not null")
-        .groupBy("_r", "_t")
-        .agg(F.max("_w").alias("_w"))
-    )
-    terms = cells.groupBy("_t").agg(F.sum("_w").alias("_column"), F.count(F.lit(1)).alias("n_rows"))
-    records = cells.groupBy("_r").agg(F.sum("_w").alias("_row"), F.count(F.lit(1)).alias("n_rows")).withColumn("n_terms", F.col("n_rows"))
-    total = cells.agg(F.sum("_w")).scalar()
-    known = salted_lookup(cells, terms, "_t", ["_r"], total=n)
-    known = salted_lookup(known, records, "_r", ["_t"], total=n)
+    hot = cut(hot_salts(rows, "_r", n))
+    few = F.broadcast(hot)  # at most 1/share records
+    salt = F.coalesce(F.pmod(F.xxhash64("_t"), F.col("_salts")), F.lit(0)).cast("int")
+    spread = rows.join(few, "_r", "left").select("_r", salt.alias("_salt"), "_t", "_w").repartition("_r", "_salt")
+    own = Window.partitionBy("_r", "_salt")
+    cells = spread.groupBy("_r", "_salt", "_t").agg(F.max("_w").alias("_w"))
+    cells = cut(cells.select("_r", "_t", "_w", F.sum("_w").over(own).alias("_row"), F.count(F.lit(1)).over(own).alias("n_terms")))
+    if not hot.isEmpty():
+        whole = cells.join(few, "_r", "left_semi").groupBy("_r").agg(F.sum("_w").alias("_all"), F.count(F.lit(1)).alias("_n"))
+        cells = cells.join(F.broadcast(whole), "_r", "left").select("_r", "_t", "_w", F.coalesce("_all", "_row").alias("_row"), F.coalesce("_n", "n_terms").alias("n_terms"))
+    terms = cut(cells.groupBy("_t").agg(F.sum("_w").alias("_column"), F.count(F.lit(1)).alias("n_rows")))
+    total = F.lit(terms.agg(F.sum("_column")).first()[0] or 0.0)
+    known = bounded_lookup(cells, terms, "_t", ["_r"], total=n)
     score = F.round(F.coalesce(F.when(total > 0, log_likelihood(F.col("_w"), F.col("_row"), F.col("_column"), total)), F.lit(0.0)), 6) + 0.0  # no negative zero
     return known.select(F.col("_r").alias(record), F.col("_t").alias(term), F.col("_w").alias(weight), "n_terms", score.alias("score"))
 
@@ -56,7 +61,8 @@ def term_scores(postings: DataFrame, record: str = "url_hash", term: str = "word
     """``record, term, weight, n_terms, score``: how strongly each term marks out its record.
 
     The contingency table compares the term's weight in the record with its weight in all other
-    records. A null weight counts as 0; rows with null record or term are ignored; of repeated
+    records. Postings hold weights relative to the record's most frequent term instead of counts, so the
+    table's cells are sums of those: G2 is that of counts scaled per record. A null weight counts as 0; rows with null record or term are ignored; of repeated
     rows of a term in a record the heaviest counts. A collection without any weight gives score 0.
     Other columns are ignored, whatever their names; an empty table gives an empty result.
     Terms and records that own a large share of the rows are salted in both look-ups.

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.session import arrow_map
+from strandline.session import arrow_map, ship
 
 #: Characters handled at once by a Python worker, which bounds its memory (one longer text goes alone).
 SLICE = 4_000_000
 #: Windows of items per broadcast index: about 200 bytes each with all repetitions. More items make more blocks.
 WINDOWS_PER_BLOCK = 200_000
+#: Blocks a worker keeps in memory; with more of them it gathers documents of BUFFER bytes and loads the blocks in turn.
+BLOCKS_HELD = 4
+BUFFER = 64 << 20
 _WORD_GAP = r"[^\p{L}\p{Nd}]+"
 
 
@@ -34,12 +39,48 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class Repetition:
     """One random walk and one sample of its places."""
 
-    coins: np.ndarray  # 3 * window coin bits per word of the vocabulary
+    coins: np.ndarray  # a row of 64 coin bits per word of the vocabulary for every 64 steps of the walk
     places: np.ndarray
     keys: np.ndarray = field(default=None)  # sorted keys of the item windows
     at: np.ndarray = field(default=None)  # the window of each key
 
 
+@cache
+def walks_needed(window: int, edits: int, recall: float, sampled: int, pairs: int = 64, walks: int = 192) -> int:
+    """How many independent walks let two windows ``edits`` apart meet with probability ``recall``, found by simulation.
+
+    Where the edits stand and whether they change, add or drop words decides how long two walks stay apart
+    (their distance has no short tail), so pairs of every kind are walked many times and the worst kind counts.
+    """
+    if not edits:
+        return 1
+    rng, most = np.random.default_rng(window * 1009 + edits), 1
+    for kind in ("s", "i", "d"):
+        pad = window + edits
+        left, right = np.full((pairs, pad + 1), pad), np.full((pairs, pad + 1), pad)
+        left[:, :window] = np.arange(window)
+        for p in range(pairs):
+            text = list(range(window))
+            for n, at in enumerate(sorted(rng.choice(window, edits, replace=False), reverse=True)):
+                text[at : at + (kind != "i")] = [] if kind == "d" else [window + n]
+            right[p, : len(text)] = text
+        met = np.ones((walks, pairs), bool)
+        for w in range(walks):
+            coins = rng.integers(0, 2, (3 * window, pad + 1))
+            wanted = set(rng.choice(3 * window, sampled, replace=False).tolist())
+            a, b, row = np.zeros(pairs, int), np.zeros(pairs, int), np.arange(pairs)
+            for step in range(max(wanted) + 1):
+                x, y = left[row, a], right[row, b]
+                if step in wanted:
+                    met[w] &= x == y
+                a, b = np.minimum(a + coins[step][x], pad), np.minimum(b + coins[step][y], pad)
+        chance = np.maximum(met.mean(0), 0.3 / walks)  # of each pair in one walk
+        aim = recall + 0.3 * (1 - recall)  # leaves room for the simulation's own error
+        while (1 - (1 - chance) ** most).mean() < aim:
+            most += max(1, most // 16)
+    return most
+
+
 class LeakIndex:
     """Item windows under ``repetitions`` independent CGK walks, for at most ``edits`` word edits.
 
@@ -63,11 +104,9 @@ class LeakIndex:
         self.part = max(1, window // (edits + 1))
         self.parts = np.unique(self._hashes(tokens)[(begin[:, None] + np.arange(window - self.part + 1)).ravel()]) if len(begin) else np.zeros(0, np.uint64)
         rng = np.random.default_rng(seed)
-        # an upper estimate of the share of places that differ, measured on random windows
-        meet = 1.0 if not edits else max(1e-3, (1 - min(0.9, (3.5 * edits + 0.5 * edits**2) / (3 * window))) ** sampled)
         self.repetitions = []
-        for _ in range(1 if not edits else math.ceil(math.log(1 - recall) / math.log(1 - meet))):
-            coins = rng.integers(0, 2**63, len(self.vocabulary) + 2, np.uint64)
+        for _ in range(walks_needed(window, edits, recall, sampled)):
+            coins = rng.integers(0, 2**64, (3 * window // 64 + 1, len(self.vocabulary) + 2), np.uint64)
             one = Repetition(coins, np.sort(rng.choice(3 * window, sampled, replace=False)))
             keys, _ = self.embed(tokens, begin, np.arange(-edits, edits + 1) == np.zeros((len(begin), 1)), one)
             order = np.argsort(keys, kind="stable")
@@ -106,7 +145,7 @@ class LeakIndex:
                 rows, at, keys = rows[row], at[row], keys[row]
                 end = begin[rows] + shortest + k
             word = tokens[at] if end is None else np.where(at < end, tokens[np.minimum(at, len(tokens) - 1)], pad)
-            at = at + ((one.coins[word] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
+            at = at + ((one.coins[j >> 6][word] >> np.uint64(j & 63)) & np.uint64(1)).astype(np.int64)
             if j in wanted:
                 keys = (keys ^ word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 keys ^= keys >> np.uint64(29)
@@ -177,45 +216,85 @@ class LeakIndex:
         return tuple(pairs[:, first])
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, window: int = 12, edits: int = 0, recall: float = 0.95, sampled: int = 8, seed: int = 7) -> DataFrame:
+def window_sizes(least: int, longest: int = 10_000) -> list[int]:
+    """The sizes of item-sized windows: from ``least`` words on, each a quarter larger than the one before."""
+    out = [least]
+    while out[-1] < longest:
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+    return out
+
+
+def _blocks(items: DataFrame, window: int, whole: bool, options: dict) -> list:
+    """Broadcasts of the indexes of the stated items. Tasks build them, each for items of one window size with a bounded number of windows."""
+    spark = items.sparkSession
+    rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    rows = rows.withColumn("_n", F.size(F.filter(F.split(F.lower("text"), _WORD_GAP, -1), lambda w: w != ""))).where(F.col("_n") >= window)
+    sizes = F.array(*map(F.lit, window_sizes(window)))
+    size = F.element_at(F.filter(sizes, lambda x: x <= F.col("_n")), -1) if whole else F.lit(window)
+    rows = rows.withColumn("size", size).withColumn("_windows", F.col("_n") - F.col("size") + 1)
+    share = F.ceil(F.sum("_windows").over(Window.partitionBy("size")) / WINDOWS_PER_BLOCK)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), share).cast("long"))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["item_id", "text"])
+        index = LeakIndex(list(zip(group["item_id"].tolist(), group["text"].tolist())), window=int(group["size"].iloc[0]), **options)
+        return pd.DataFrame({"index": [pickle.dumps(index)]})
+
+    ship(spark)
+    built = rows.select("item_id", "text", "size", "block").groupBy("size", "block").applyInPandas(build, "index binary")
+    return [spark.sparkContext.broadcast(bytes(row["index"])) for row in built.toLocalIterator()]
+
+
+def leaks(documents: DataFrame, items: DataFrame, *, window: int = 12, whole: bool = False, edits: int = 0, recall: float = 0.95, sampled: int = 8, seed: int = 7) -> DataFrame:
     """``doc_id, item_id, edits``: documents with ``window`` consecutive words of an item, up to ``edits`` words changed, added or dropped.
 
-    Exact sharing (``edits=0``) is found without loss, since equal windows get equal keys; with edits
-    a pair is found with probability ``recall`` or more. Every hit is verified. Documents stay
-    where they are: the index of the stated items goes to them, in blocks of bounded size.
+    With ``whole`` windows are item-sized instead: an item is sought by stretches of the largest of
+    ``window_sizes(window)`` it holds, 80 % of the item or more. Exact sharing (``edits=0``) is found without
+    loss, since equal windows get equal keys; with edits a pair is found with probability ``recall`` or more.
+    Every hit is verified. Documents stay where they are and are read once: tasks build the index of the
+    stated items in blocks of bounded size, and a worker that reads documents puts them to one block after another.
 
     Nulls: a null text has no words, rows with null id are ignored. Items shorter than ``window``
-    words and documents shorter than ``window - edits`` match nothing. A text of any length is read whole. Repeated rows come out once, other
+    words and documents shorter than a window less ``edits`` match nothing. A text of any length is read whole. Repeated rows come out once, other
     columns are ignored, empty tables give an empty result.
     """
-    spark = documents.sparkSession
-    wanted = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    blocks: list[list[tuple[int, str]]] = [[]]
-    room = WINDOWS_PER_BLOCK
-    for row in wanted.orderBy("item_id", "text").toLocalIterator():  # the stated query set, block by block
-        need = len(row["text"]) // 2 + 1
-        if blocks[-1] and need > room:
-            blocks.append([])
-            room = WINDOWS_PER_BLOCK
-        blocks[-1].append((row["item_id"], row["text"]))
-        room -= need
+    blocks = _blocks(items, window, whole, {"edits": edits, "recall": recall, "sampled": sampled, "seed": seed})
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for block in blocks:
-        index = spark.sparkContext.broadcast(LeakIndex(block, window=window, edits=edits, recall=recall, sampled=sampled, seed=seed))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sizes = np.cumsum(pc.utf8_length(batch["text"]).to_numpy(zero_copy_only=False))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, LeakIndex] = {}
+
+        def index(i: int) -> LeakIndex:
+            if i not in held:
+                if len(held) >= BLOCKS_HELD:
+                    held.clear()
+                held[i] = pickle.loads(blocks[i].value)
+                blocks[i].__dict__.pop("_value", None)  # its bytes aren't needed any more
+            return held[i]
+
+        def search(buffer: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(buffer).combine_chunks()
+            sizes = np.cumsum(pc.utf8_length(rows["text"]).to_numpy())
+            for n in range(len(blocks)):
                 a = 0
-                while a < batch.num_rows:
+                while a < rows.num_rows:
                     b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SLICE, "right")))
-                    place, item, edited = index.value.search(batch["text"].slice(a, b - a))
-                    yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a).take(pa.array(place)), pa.array(item, pa.int64()), pa.array(edited, pa.int32())], ["doc_id", "item_id", "edits"])
+                    place, item, edited = index(n).search(rows["text"].slice(a, b - a).combine_chunks())
+                    found = rows["doc_id"].slice(a, b - a).take(pa.array(place)).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([found, pa.array(item, pa.int64()), pa.array(edited, pa.int32())], ["doc_id", "item_id", "edits"])
                     a = b
 
-        one = arrow_map(texts, run, "doc_id long, item_id long, edits int")
-        out = one if out is None else out.unionByName(one)
+        buffer, size = [], 0
+        for batch in batches:
+            buffer.append(batch)
+            size += batch.nbytes
+            if size >= (BUFFER if len(blocks) > BLOCKS_HELD else 1):  # blocks that can't be held are loaded once a buffer
+                yield from search(buffer)
+                buffer, size = [], 0
+        if buffer:
+            yield from search(buffer)
+
+    out = arrow_map(texts, run, "doc_id long, item_id long, edits int")
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 

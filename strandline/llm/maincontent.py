@@ -25,7 +25,7 @@ def _host(url: Column) -> Column:
 def _features(elements: DataFrame) -> DataFrame:
     """One row per (page_id, elem_no); texts, templates, labels, hosts and classes as 64-bit hashes.
 
-    A title keeps the hashes of its beginnings at word ends, with which headings are compared.
+    A title keeps its text, with whose beginning headings are compared.
     """
     rows = elements.where("page_id is not null and elem_no is not null").select("page_id", "elem_no", F.struct("text", "tag", "css_class", "url").alias("e"))
     rows = rows.groupBy("page_id", "elem_no").agg(F.max("e").alias("e")).select("page_id", "elem_no", "e.*")
@@ -36,40 +36,42 @@ def _features(elements: DataFrame) -> DataFrame:
     heading = F.coalesce(F.col("tag").isin(*HEADINGS), F.lit(False))
     template = F.lower(F.when(heading, plain).otherwise(F.regexp_replace(plain, _NAME_INSIDE, "¤")))
     label = F.regexp_extract("text", r"^([^\s:]+(?: [^\s:]+){0,3}): ", 1)
-    words = F.split("text", " ")
-    least = F.length("text") / 2 - 12
-    begins = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
-    begins = F.transform(F.filter(begins, lambda b: F.length(b) >= least), lambda b: F.xxhash64(b))
     return rows.select(
         "page_id", "elem_no", "tag", heading.alias("heading"), F.xxhash64("class").alias("class"), F.xxhash64("host").alias("host"), F.xxhash64("text").alias("text_h"),
-        F.xxhash64(template).alias("template"), F.when(label != "", F.xxhash64(label)).alias("label"), F.length("text").alias("n_chars"), F.when(F.col("tag") == "title", begins).alias("begins"),
+        F.xxhash64(template).alias("template"), F.when(label != "", F.xxhash64(label)).alias("label"), F.length("text").alias("n_chars"), F.when(F.col("tag") == "title", F.col("text")).alias("title"),
         (F.col("tag").isNull() & (plain == "0")).alias("bare"),
     )
 
 
 def _page_heads(rows: DataFrame) -> DataFrame:
     """``page_id, head, n_rows``: where the page's own heading stands - the first element with the text that starts its title."""
-    titles = rows.where("begins is not null").groupBy("page_id").agg(F.max("begins").alias("title"))
-    near = rows.where(F.coalesce(~F.col("tag").isin("title", "li", *LINKS), F.lit(True)) & F.col("heading")).select("page_id", "elem_no", "tag", "text_h", F.lit(True).alias("h"))
-    other = rows.where(F.coalesce(~F.col("tag").isin("title", "li", *LINKS), F.lit(True)) & ~F.col("heading")).select("page_id", "elem_no", "tag", "text_h", F.lit(False).alias("h"))
+    titles = rows.where("title is not null").groupBy("page_id").agg(F.max("title").alias("title"))
+    near = rows.where(F.coalesce(~F.col("tag").isin("title", "li", *LINKS), F.lit(True)) & F.col("heading")).select("page_id", "elem_no", "tag", "text_h", "n_chars", F.lit(True).alias("h"))
+    other = rows.where(F.coalesce(~F.col("tag").isin("title", "li", *LINKS), F.lit(True)) & ~F.col("heading")).select("page_id", "elem_no", "tag", "text_h", "n_chars", F.lit(False).alias("h"))
     known = near.unionByName(other).join(titles, "page_id", "left")
-    match = F.coalesce(F.array_contains("title", F.col("text_h")), F.lit(False))
+    # a heading is half of the title or more, so comparing costs no more than reading the element
+    size, whole = F.col("n_chars"), F.length("title")
+    fits = (size <= whole) & (size >= whole / 2 - 12) & F.substr("title", size + 1, F.lit(1)).isin("", " ")
+    match = F.coalesce(F.when(fits, F.xxhash64(F.substr("title", F.lit(1), size)) == F.col("text_h")), F.lit(False))
     score = F.when(match & F.col("h"), 0).when(match, 1).when(F.col("tag") == "h1", 2).when(F.col("h"), 3)
     heads = known.withColumn("score", score).where("score is not null").groupBy("page_id").agg(F.min(F.struct("score", "elem_no")).alias("h")).select("page_id", F.col("h.elem_no").alias("head"))
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_rows")).join(heads, "page_id", "left")
 
 
-def _looked_up(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+def _looked_up(rows: DataFrame, facts: DataFrame, key: str, total: int, spread: list[str] = ["page_id", "elem_no"]) -> DataFrame:
     """``rows`` left joined with ``facts`` (one row per ``key``, ``n_rows`` of it), hot keys salted."""
-    left, right = salted(rows, facts, key, ["page_id", "elem_no"], total=total)
+    left, right = salted(rows, facts, key, spread, total=total)
     return left.join(right.drop("n_rows"), [key, "_salt"], "left").drop("_salt")
 
 
-def main_elements(elements: DataFrame, *, least_pages: int = 3, host_share: float = 0.02, share: float = 0.0025, resumes: float = 0.25, wins: float = 0.3) -> DataFrame:
+def main_elements(elements: DataFrame, *, least_pages: int = 3, host_share: float = 0.02, least_anywhere: int = 5, carrier_share: float = 0.06, share: float = 0.0025, resumes: float = 0.25, wins: float = 0.3) -> DataFrame:
     """``page_id, elem_no`` of the elements that make up the main body of each page.
 
     Texts are generalised to templates (numbers, names and the host's own name left out). A template
-    that many pages of a host, or many pages anywhere, carry is boilerplate. The corpus votes on
+    that ``least_pages`` and ``host_share`` of a host's pages carry is boilerplate there. So is, on hosts with too
+    few of it, one on ``least_anywhere`` pages that make up ``carrier_share`` of the pages of the hosts that
+    have it, or ``share`` of all pages: shares, so that a page gets the same answer in a large corpus as
+    in a small one of the same kind (README has figures). The corpus votes on
     what a boilerplate template does to an article: one after which content rarely resumes ends it
     (sharing, comments, teasers, footers), others are inserts (adverts). From its heading to
     the first such end, a page scores its containers - elements of one tag-class path - by their
@@ -92,16 +94,19 @@ def main_elements(elements: DataFrame, *, least_pages: int = 3, host_share: floa
     once = rows.groupBy("host", "template", "page_id").agg(F.max("tag").alias("tag"))
     here = cut(once.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n_here"), F.mode("tag", True).alias("usual")))
     hosts = rows.select("host", "page_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    anywhere = here.groupBy("template").agg(F.sum("n_here").alias("n_all")).where(F.col("n_all") >= least_pages)
-    facts = here.join(anywhere, "template").join(hosts, "host")
-    common = ((F.col("n_here") >= least_pages) & (F.col("n_here") >= host_share * F.col("host_pages"))) | (F.col("n_all") >= share * n_pages)
-    facts = facts.select(F.xxhash64("host", "template").alias("_k"), common.alias("common"), "usual", F.col("n_here").alias("n_rows"))
+    hosts = hosts.join(here.groupBy("host").agg(F.count(F.lit(1)).alias("n_rows")), "host")
+    n_here = here.count()
+    here = cut(_looked_up(here, hosts, "host", n_here, ["template"]))
+    anywhere = here.groupBy("template").agg(F.sum("n_here").alias("n_all"), F.sum("host_pages").alias("all_pages"), F.count(F.lit(1)).alias("n_rows"))
+    facts = _looked_up(here, anywhere, "template", n_here, ["host"])
+    common = ((F.col("n_here") >= least_pages) & (F.col("n_here") >= host_share * F.col("host_pages"))) | ((F.col("n_all") >= least_anywhere) & ((F.col("n_all") >= carrier_share * F.col("all_pages")) | (F.col("n_all") >= share * n_pages)))
+    facts = facts.select(F.xxhash64("host", "template").alias("_k"), common.alias("common"), F.when(F.col("n_all") >= least_pages, F.col("usual")).alias("usual"), F.col("n_here").alias("n_rows"))
     # a bare number without a tag may be a cell or a page number: its class tells, its template doesn't
     by_class = F.xxhash64("host", "class", F.lit("class"))
     classes = rows.where(F.col("class") != F.xxhash64(F.lit(""))).groupBy("host", "class").agg(F.mode("tag", True).alias("usual"), F.sum(F.col("bare").cast("long")).alias("n_rows")).where("n_rows > 0")
     facts = cut(facts.unionByName(classes.select(by_class.alias("_k"), F.lit(False).alias("common"), "usual", "n_rows")))
     key = F.when(F.col("bare"), by_class).otherwise(F.xxhash64("host", "template"))
-    known = _looked_up(rows.withColumn("_k", key).drop("text_h", "begins", "heading", "bare"), facts, "_k", total).drop("_k")
+    known = _looked_up(rows.withColumn("_k", key).drop("text_h", "title", "heading", "bare"), facts, "_k", total).drop("_k")
     known = known.withColumn("tag", F.coalesce("tag", "usual", F.lit(""))).drop("usual")
     link, content = F.col("tag").isin(*LINKS), F.col("tag").isin(*CONTENT)
     known = known.withColumn("common", F.coalesce("common", F.lit(False)) & ~content)

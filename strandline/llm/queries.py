@@ -82,7 +82,12 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_near(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"), edits=2)
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"), edits=2, recall=0.999)
+
+
+def p8_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Items that leaked whole, or nearly so, with up to three words edited."""
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"), whole=True, edits=3, recall=0.99)
 
 
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +124,7 @@ def p10_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_scores, p2_found, p2_ranks, p4_found, p4_texts, p6_found, p6_chain, p6_errors, p6_bound, p7_found, p7_texts, p8_found, p8_items, p8_near, p9_mix, p9_shares, p9_bounds, p10_found, p10_repaired)
+    for f in (p1_found, p1_scores, p2_found, p2_ranks, p4_found, p4_texts, p6_found, p6_chain, p6_errors, p6_bound, p7_found, p7_texts, p8_found, p8_items, p8_near, p8_whole, p9_mix, p9_shares, p9_bounds, p10_found, p10_repaired)
 }
 
 _SCORES = """
@@ -155,6 +160,21 @@ dw AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id
 iw AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM itoks)),
 pairs AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g))"""
 
+# 12 words with two edits hold one of their three parts of four words untouched. Words become single characters, and those of a window letters, so that
+# levenshtein counts words; a word of no item is like no other.
+_NEAR = r"""
+toks AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+') if x <> ''] AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+itoks AS (SELECT item_id, [x for x in regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+') if x <> ''] AS w FROM benchmark_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+names AS (SELECT x, 19968 + row_number() OVER (ORDER BY x) AS code FROM (SELECT DISTINCT unnest(w) AS x FROM itoks)),
+dc AS (SELECT doc_id, string_agg(chr(coalesce(code, 33)::INT), '' ORDER BY i) AS s FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM toks) LEFT JOIN names USING (x) GROUP BY doc_id),
+ic AS (SELECT item_id, string_agg(chr(code::INT), '' ORDER BY i) AS s FROM (SELECT item_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM itoks) JOIN names USING (x) GROUP BY item_id),
+dp AS (SELECT doc_id, i AS p, s[i:i + 3] AS g FROM (SELECT doc_id, s, unnest(range(1, len(s) - 2)) AS i FROM dc) WHERE NOT contains(s[i:i + 3], '!')),
+ip AS (SELECT item_id, i AS q, s[i:i + 3] AS g FROM (SELECT item_id, s, unnest(range(1, len(s) - 2)) AS i FROM ic)),
+met AS (SELECT DISTINCT doc_id, item_id, q - o AS q0, p - o + shift AS p0 FROM dp JOIN ip USING (g), unnest([0, 4, 8]) AS offs(o), unnest([-2, -1, 0, 1, 2]) AS shifts(shift)),
+cand AS (SELECT DISTINCT doc_id, item_id, dc.s[p0:p0 + n - 1] AS a, ic.s[q0:q0 + 11] AS b FROM met JOIN dc USING (doc_id) JOIN ic USING (item_id), unnest([10, 11, 12, 13, 14]) AS lens(n)
+  WHERE q0 >= 1 AND q0 + 11 <= len(ic.s) AND p0 >= 1 AND p0 + n - 1 <= len(dc.s)),
+near AS (SELECT doc_id, item_id, min(levenshtein(regexp_replace(translate(a, b, 'ABCDEFGHIJKL'), '[^A-L]', '#', 'g'), translate(b, b, 'ABCDEFGHIJKL')))::INT AS edits FROM cand GROUP BY 1, 2)"""
+
 _ARRIVALS = f"""
 a AS (SELECT DISTINCT 'frontier_urls' AS table_name, frontier_seq AS record_id, {_KEY} AS key FROM frontier_urls WHERE url IS NOT NULL
   UNION ALL SELECT DISTINCT 'out_links', outlink_id, {_KEY} FROM out_links WHERE url IS NOT NULL),
@@ -173,6 +193,7 @@ WITH {_REPEATED}, gone AS (SELECT text_id, list(line_no) AS nos FROM found GROUP
 SELECT p.text_id, array_to_string([x for x, i in string_split(text, chr(10)) if NOT list_contains(coalesce(nos, []), i)], chr(10)) AS text,
   coalesce(len(nos), 0)::INT AS n_removed FROM page_texts p LEFT JOIN gone USING (text_id)""",
     "p8_found": f"WITH {_SHARED} SELECT doc_id, item_id FROM pairs",
+    "p8_near": f"WITH {_NEAR} SELECT doc_id, item_id, edits FROM near WHERE edits <= 2",
     "p9_bounds": "SELECT source, target_share, true AS within_cap, true AS reached FROM mix_targets WHERE source IS NOT NULL",
     "p8_items": f"WITH {_SHARED} SELECT item_id, count(*) AS n_docs FROM pairs GROUP BY 1",
 }
