@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import url as U
@@ -91,6 +91,21 @@ def own_text(pages: DataFrame, *, drop_nbsp: bool = True) -> DataFrame:
     return arrow_map(wanted, run, "page_id long, url string, elem_no int, tag string, css_class string, text string, href string")
 
 
+def render(elements: DataFrame) -> DataFrame:
+    """``page_id, url, html`` of ``page_id, url, elem_no, tag, css_class, text, href``: each page's elements in order, one after another.
+
+    An element without a tag becomes a ``div``. What ``own_text`` reads back are the same elements.
+    """
+    def escaped(c: Column) -> Column:
+        return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+    tag = F.coalesce("tag", F.lit("div"))
+    attributes = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f' {name}="'), escaped(F.col(c)), F.lit('"'))).otherwise("") for name, c in (("class", "css_class"), ("href", "href"))]
+    one = F.concat(F.lit("<"), tag, *attributes, F.lit(">"), escaped(F.coalesce("text", F.lit(""))), F.lit("</"), tag, F.lit(">"))
+    rows = elements.select("page_id", "url", F.struct("elem_no", one.alias("html")).alias("e"))
+    return rows.groupBy("page_id").agg(F.max("url").alias("url"), F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["html"]), "\n").alias("html"))
+
+
 def page_links(elements: DataFrame, *, clean: bool = True) -> DataFrame:
     """``page_id, url, link``: absolute links of a page's ``a`` elements, cleaned unless told otherwise."""
     links = elements.where("tag = 'a' and href is not null").select("page_id", "url", U.resolve(F.col("url"), F.trim("href")).alias("link"))
@@ -109,10 +124,16 @@ def snippet_description(elements: DataFrame, limit: int = 300, *, strict: bool =
     """``page_id, description``: meta descriptions by name, by property, then own texts while there is room.
 
     The text is cut at ``limit`` when a further piece starts beyond it; what overshoots at the very end
-    stays, unless ``strict``. A page gathers the pieces needed to fill the snippet, no more.
+    stays, unless ``strict``. A page gathers the pieces needed to fill the snippet: those that begin within
+    the limit and the few after them that decide how it ends.
     """
     stage = F.when(F.col("tag") == "meta-name-description", 0).when(F.col("tag") == "meta-property-description", 1).otherwise(2)
     pieces = elements.select("page_id", F.struct(stage.alias("stage"), "elem_no", F.trim(F.coalesce("text", F.lit(""))).alias("text")).alias("e"))
+    size = F.length("e.text")
+    earlier = Window.partitionBy("page_id").orderBy("e").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum(size).over(earlier), F.lit(0)))
+    beyond = F.coalesce(F.sum(((F.col("_before") > limit) & (size > 0)).cast("int")).over(earlier), F.lit(0))
+    pieces = pieces.withColumn("_beyond", beyond).where("_beyond < 8")
     rows = pieces.groupBy("page_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("size"), F.lit(-1).alias("stage"), F.lit(False).alias("done"))
 

@@ -59,14 +59,54 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n+")
 
 
+#: Irregular English forms (fixed values): a lemma and its other forms.
+IRREGULAR = """
+be am is are was were been being; have has had having; do does did done; go goes went gone; say said; get got gotten; make made making
+know knew known; think thought; take took taken taking; see saw seen; come came coming; give gave given giving; find found; tell told; become became
+leave left; feel felt; bring brought; begin began begun; keep kept; hold held; write wrote written; stand stood; hear heard; mean meant
+meet met; run ran; pay paid; sit sat; speak spoke spoken; lead led; grow grew grown; lose lost; fall fell fallen; send sent; build built
+draw drew drawn; break broke broken; spend spent; rise rose risen; drive drove driven; buy bought; wear wore worn; choose chose chosen
+eat ate eaten; fly flew flown; catch caught; teach taught; sell sold; fight fought; sleep slept; win won; throw threw thrown; sing sang sung
+child children; man men; woman women; foot feet; tooth teeth; mouse mice; goose geese; life lives; knife knives; wife wives; leaf leaves
+news news; series series; species species; lens lenses; gas gases; bus buses; analysis analyses; add adding; use used using; die died dying; lie lied lying; change changed changing
+"""
+#: Suffix rules of English, the first that matches counts: a pattern and what it leaves.
+LEMMA_RULES = (
+    (r"^([a-z]{3,})ies$", r"\1y"),
+    (r"^([a-z]*)(sses|shes|ches|xes|zzes)$", None),
+    (r"^([a-z]{2,}[^siu])s$", r"\1"),
+    (r"^([a-z]{2,})ied$", r"\1y"),
+    (r"^([a-z]*[aeiouy][a-z]*)(?:(b)b|(d)d|(g)g|(m)m|(n)n|(p)p|(r)r|(t)t)(?:ing|ed)$", r"\1\2\3\4\5\6\7\8\9"),
+    (r"^([^aeiouy]+[aiou][bdgkmnprtz])(?:ing|ed)$", r"\1e"),
+    (r"^([a-z]*[aeiouy][a-z]*(?:at|iz|is|ur|[^aeioul]l|v|c|u|[aeo]g|dg|rg|[aeiou]s|[^e]as|ar))(?:ing|ed)$", r"\1e"),
+    (r"^([a-z]*[aeiouy][a-z]*[a-z])(?:ing|ed)$", r"\1"),
+)
+
+
+def irregular_forms() -> dict[str, str]:
+    """Each irregular form and its lemma."""
+    entries = [e.split() for line in IRREGULAR.strip().split("\n") for e in line.split(";")]
+    return {form: lemma for lemma, *forms in entries for form in forms}
+
+
 def lemma(word: Column) -> Column:
-    """Rule lemmas of English plurals: -ies to -y, -sses to -ss, -s dropped but after s, u and i."""
-    return (
-        F.when((F.length(word) > 4) & F.endswith(word, F.lit("ies")), F.concat(F.substr(word, F.lit(1), F.length(word) - 3), F.lit("y")))
-        .when(F.endswith(word, F.lit("sses")), F.substr(word, F.lit(1), F.length(word) - 2))
-        .when((F.length(word) > 3) & F.endswith(word, F.lit("s")) & ~F.regexp_like(word, F.lit("(ss|us|is)$")), F.substr(word, F.lit(1), F.length(word) - 1))
-        .otherwise(word)
-    )
+    """The English lemma of a lower-case word: irregular forms by list, then suffixes by rule; other words stay.
+
+    Plurals (-s, -es, -ies) and verbs (-s, -ed, -ing, with doubled consonants undone and a silent e put back).
+    """
+    known = F.create_map(*[F.lit(x) for kv in irregular_forms().items() for x in kv])
+    out = F.when(known[word].isNotNull(), known[word])
+    for pattern, left in LEMMA_RULES:
+        value = F.substr(word, F.lit(1), F.length(word) - 2) if left is None else F.regexp_replace(word, pattern, regex.sub(r"\\(\d)", r"$\1", left))
+        out = out.when(F.regexp_like(word, F.lit(pattern)), value)
+    return out.otherwise(word)
+
+
+def lemma_sql(word: str) -> str:
+    """The same as SQL for DuckDB."""
+    known = " ".join(f"WHEN '{form}' THEN '{lemma_}'" for form, lemma_ in irregular_forms().items())
+    rules = " ".join(f"WHEN regexp_matches({word}, '{p}') THEN " + (f"{word}[:-3]" if left is None else f"regexp_replace({word}, '{p}', '{left}')") for p, left in LEMMA_RULES)
+    return f"coalesce(CASE {word} {known} END, CASE {rules} ELSE {word} END)"
 
 
 def lemmatiser(model: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:

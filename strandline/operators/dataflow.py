@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import url as U
+from strandline.session import arrow_map
 
 
 def shuffle_grouping(df: DataFrame, n: int) -> DataFrame:
@@ -31,6 +34,42 @@ def first_grouping(df: DataFrame) -> DataFrame:
     return df.coalesce(1)
 
 
+class Bolt(Protocol):
+    """A user's operator. One instance works on one partition: ``prepare`` before its rows, ``execute`` on each batch of
+    them (rows in, rows out), ``cleanup`` at the end, also after an error; rows it returns are written too."""
+
+    def prepare(self, part: int) -> None: ...
+    def execute(self, rows: list[dict]) -> list[dict]: ...
+    def cleanup(self) -> list[dict] | None: ...
+
+
+def run_bolt(df: DataFrame, make: Callable[[], Bolt], schema: str) -> DataFrame:
+    """The rows that instances of a bolt write, one instance for each partition of ``df``, which a grouping decides.
+
+    A partition is streamed in Arrow batches and never held; state is the bolt's own. The end of a
+    partition is the end of its stream. An empty partition is prepared and cleaned up as well.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        bolt = make()
+        bolt.prepare(TaskContext.get().partitionId())
+        ended = False
+        try:
+            for batch in batches:
+                yield pa.RecordBatch.from_pylist(bolt.execute(batch.to_pylist()), schema=target)
+            ended = True
+        finally:
+            last = bolt.cleanup()
+        if ended and last:
+            yield pa.RecordBatch.from_pylist(last, schema=target)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    return arrow_map(df, run, schema)
+
+
 @dataclass
 class Flow:
     """Named steps: sources, and operators over the results of earlier steps. Nothing runs before an action."""

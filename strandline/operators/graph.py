@@ -93,6 +93,7 @@ def pagerank(edges: DataFrame, *, iterations: int = 15, d: float = 0.85, damping
     return ranks.select("id", "rank")
 
 
-def lookup(ranks: DataFrame, ids: list[str]) -> DataFrame:
-    """``id, rank_text`` with two decimals."""
-    return ranks.where(F.col("id").isin(ids)).select("id", F.format_string("%.2f", "rank").alias("rank_text"))
+def lookup(ranks: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
+    """``id, rank_text`` with two decimals, of a few ids or a table of them (``id``); unknown ids and null ranks give no row."""
+    asked = ranks.where(F.col("id").isin(ids)) if isinstance(ids, list) else ranks.join(ids.select("id"), "id", "left_semi")
+    return asked.where("rank is not null").select("id", F.format_string("%.2f", "rank").alias("rank_text"))

@@ -78,6 +78,20 @@ def tfidf(postings: DataFrame, idf: DataFrame, tf: str, word: str = "word") -> D
     return salted_lookup(postings, facts, word, spread).withColumn("tfidf", F.round(F.col(tf) * F.col("idf"), 9))
 
 
+def weighted(terms: DataFrame, ranks: DataFrame, *, doc: str = "url_hash", n_docs: int | None = None, default_rank: float = 0.15) -> DataFrame:
+    """``word, doc, tf, weight, weight_pg, is_title, shard``: what the index holds of page terms ``doc, term, n, is_title``.
+
+    ``weight`` is tf times idf, ``weight_pg`` that times the page's ``pagerank`` in ``ranks`` (``default_rank`` without
+    one). ``n_docs`` is the collection's size for idf, by default the number of different pages.
+    """
+    tf = cut(term_frequency(terms, doc).select(F.col("term").alias("word"), doc, "tf", "is_title"))
+    n_docs = n_docs or tf.select(doc).distinct().count()
+    rows = tfidf(tf, inverse_frequency(document_frequency(tf, "word", doc), n_docs), "tf").withColumnRenamed("tfidf", "weight")
+    rank = ranks.groupBy(doc).agg(F.max("pagerank").alias("pagerank"))
+    joined = rows.join(rank, doc, "left").withColumn("weight_pg", F.round(F.col("weight") * F.coalesce("pagerank", F.lit(default_rank)), 12))
+    return joined.select("word", doc, "tf", "weight", "weight_pg", "is_title", shard(F.col("word")).alias("shard"))
+
+
 def top_per_word(postings: DataFrame, weight: str, n: int = 10, word: str = "word", doc: str = "url_hash") -> DataFrame:
     """The ``n`` heaviest documents of each word with their ``pos``; ties by document. Tasks keep ``n`` a word before the shuffle."""
     order = Window.partitionBy(word).orderBy(F.desc_nulls_last(weight), doc)

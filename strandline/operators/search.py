@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import url as U
+from strandline.operators.index import shard
 
 
 def matching(postings: DataFrame, terms: DataFrame, word: str = "word") -> DataFrame:
@@ -13,6 +14,19 @@ def matching(postings: DataFrame, terms: DataFrame, word: str = "word") -> DataF
     return postings.join(F.broadcast(terms.select(word).distinct()), word, "left_semi")
 
 
+def lookup(index: DataFrame, words: list[str], word: str = "word") -> DataFrame:
+    """The index rows of a query's few ``words``; both filters reach the scan: other shards aren't opened, other row groups are skipped."""
+    known = sorted({w for w in words if w})
+    rows = index.where(F.col(word).isin(known))
+    if "shard" not in index.columns:
+        return rows
+    spark = index.sparkSession
+    if not known:
+        return rows
+    shards = sorted({r[0] for r in spark.createDataFrame([(w,) for w in known], "w string").select(shard(F.col("w"))).collect()})
+    return rows.where(F.col("shard").isin(shards))
+
+
 def all_terms(postings: DataFrame, n_terms: int, doc: str = "url_hash", weight: str = "weight") -> DataFrame:
     """``doc, score`` of documents that hold all ``n_terms`` terms, the score being the sum of their weights."""
     one = postings.groupBy(doc, "word").agg(F.max(weight).alias("w"))

@@ -9,8 +9,9 @@ from strandline.functions import html as H
 from strandline.functions import text as T
 from strandline.functions import url as U
 from strandline.operators import crawl, graph, index, jobs, search
+from strandline.plans import engine
+from strandline.session import cut, scratch_path, table
 from strandline.sources import files
-from strandline.session import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -173,11 +174,7 @@ def sentence_count(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
 
 
-@_query(
-    f"""WITH {_DOCUMENT_WORDS}, l AS (SELECT CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN w LIKE '%sses' THEN w[:-3]
-  WHEN length(w) > 3 AND w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN w[:-2] ELSE w END AS lemma FROM words WHERE {_IS_TOKEN} AND w NOT IN ({_STOP}))
-SELECT lemma, count(*) AS n FROM l GROUP BY 1"""
-)
+@_query(f"WITH {_DOCUMENT_WORDS}, l AS (SELECT {T.lemma_sql('w')} AS lemma FROM words WHERE {_IS_TOKEN} AND w NOT IN ({_STOP})) SELECT lemma, count(*) AS n FROM l GROUP BY 1")
 def lemma_count(spark, folder):
     tokens = T.token_rows(table(spark, folder, "documents"), ["doc_id"], "text")
     return jobs.word_count(tokens.select(T.lemma(F.col("token")).alias("lemma")), "lemma")
@@ -242,10 +239,14 @@ def shard_assign(spark, folder):
     return words.select("word", index.bucket(F.col("word")).alias("bucket"), index.shard(F.col("word")).alias("shard"))
 
 
-@_query(f"WITH {_SHARD_SQL}, o AS (SELECT shard, count(*) AS n_words FROM s GROUP BY 1) SELECT shard, CASE WHEN shard IN (0, 2, 3, 4) THEN shard WHEN (shard + 1 + 5) % 5 IN (0, 2, 3, 4) THEN (shard + 1 + 5) % 5 END::INT AS owner, n_words FROM o")
+@_query(f"""WITH {_SHARD_SQL}, o AS (SELECT shard, count(*) AS n_words FROM s GROUP BY 1), last AS (SELECT user_id, max(ts) AS t FROM events GROUP BY 1),
+live AS (SELECT DISTINCT user_id % 5 AS w FROM last WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(t) <= 3600000000)
+SELECT shard, CASE WHEN shard IN (SELECT w FROM live) THEN shard WHEN (shard + 6) % 5 IN (SELECT w FROM live) THEN (shard + 6) % 5 END::INT AS owner, n_words FROM o""")
 def failover_owner(spark, folder):
+    """Five workers, those alive of whom a check-in came within the last hour of the events."""
     words = shard_assign(spark, folder).groupBy("shard").agg(F.count(F.lit(1)).alias("n_words"))
-    alive = spark.createDataFrame([(i,) for i in (0, 2, 3, 4)], "worker int")
+    events = table(spark, folder, "events").select((F.col("user_id") % 5).alias("worker"), F.col("ts").cast("timestamp").alias("ts"))
+    alive = crawl.live_workers(events, events.agg(F.max("ts")).scalar(), 3600)
     return words.join(index.shard_owner(words, alive, 5), "shard")
 
 
@@ -278,15 +279,37 @@ def outlinks(spark, folder):
     return rows.groupBy("outlink_id", "link").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ALLOWED_SQL = """CASE WHEN host IS NULL THEN false WHEN contains(host, 'wiki') AND host NOT IN ('en.wikipedia.org', 'www.amazon.com') THEN false
+  WHEN coalesce(visits, 0) > 100 AND host NOT IN ('en.wikipedia.org', 'www.amazon.com') THEN false
+  WHEN len([x for x in coalesce(allow, []) if CASE WHEN x LIKE '%/' THEN contains(path, x) AND path <> x ELSE path = x END]) > 0 THEN true
+  WHEN len([x for x in coalesce(disallow, []) if CASE WHEN x LIKE '%/' THEN contains(path, x) AND path <> x ELSE path = x END]) > 0 THEN false ELSE true END"""
+_ROBOTS_SQL = r"""
+docs AS (SELECT regexp_extract(text, '^Crawl rules of (\S+)', 1) AS host, max(text) AS text FROM documents WHERE text LIKE 'Crawl rules of %' GROUP BY 1),
+l AS (SELECT host, i, lower(string_split(text, chr(10))[i]) AS line FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs)),
+s AS (SELECT host, min(i) AS a FROM l WHERE line IN ('user-agent: *', 'user-agent: crawler') GROUP BY 1),
+z AS (SELECT l.host, min(i) AS b FROM l JOIN s USING (host) WHERE i > a AND starts_with(line, 'user-agent') GROUP BY 1),
+r AS (SELECT l.* FROM l JOIN s USING (host) LEFT JOIN z USING (host) WHERE i > a AND (b IS NULL OR i < b)),
+robots AS (SELECT docs.host, coalesce(list(line[8:] ORDER BY i) FILTER (WHERE starts_with(line, 'allow: ')), []) AS allow, coalesce(list(line[11:] ORDER BY i) FILTER (WHERE starts_with(line, 'disallow: ')), []) AS disallow,
+  coalesce(arg_max(TRY_CAST(trim(line[14:]) AS INT), i) FILTER (WHERE starts_with(line, 'crawl-delay')), 0)::INT AS crawl_delay FROM docs LEFT JOIN r USING (host) GROUP BY 1),
+visited AS (SELECT host, count(DISTINCT trim(url, ' ')) AS visits FROM frontier_urls WHERE host IS NOT NULL GROUP BY 1)"""
+_CHECKED_SQL = rf"""
+adr AS (SELECT url, trim(url, ' ') AS u FROM asked),
+parsed AS (SELECT url, CASE WHEN length(u) >= 8 AND regexp_matches(u, '^https?://[^/]') THEN trim(split_part(regexp_extract(u, '^https?://([^/]*)', 1), ':', 1)) END AS host,
+  coalesce(nullif(regexp_extract(u, '^https?://[^/]*(/.*)$', 1), ''), '/') AS path FROM adr),
+checked AS (SELECT url, {_ALLOWED_SQL} AS allowed FROM parsed LEFT JOIN robots USING (host) LEFT JOIN visited USING (host))"""
+
+
+def _visits(spark, folder):
+    return table(spark, folder, "frontier_urls").where("host is not null").groupBy("host").agg(F.count_distinct(F.trim("url")).alias("n"))
+
+
 @_query(
-    f"""WITH x AS (SELECT unnest(links) AS l FROM out_links), c AS (SELECT DISTINCT {_LINK_SQL} AS url FROM x WHERE l IS NOT NULL AND NOT starts_with(trim(l, ' '), 'mailto'))
-SELECT url FROM c WHERE length(trim(url, ' ')) >= 8 AND regexp_matches(trim(url, ' '), '^https?://[^/]') AND NOT contains(regexp_extract(trim(url, ' '), '^https?://([^/:]*)', 1), 'wiki')
-  AND url NOT IN (SELECT url FROM frontier_urls WHERE url IS NOT NULL)"""
+    f"""WITH {_ROBOTS_SQL}, x AS (SELECT unnest(links) AS l FROM out_links), asked AS (SELECT DISTINCT {_LINK_SQL} AS url FROM x WHERE l IS NOT NULL AND NOT starts_with(trim(l, ' '), 'mailto')), {_CHECKED_SQL}
+SELECT url FROM checked WHERE allowed AND url NOT IN (SELECT url FROM frontier_urls WHERE url IS NOT NULL)"""
 )
 def record_links(spark, folder):
     links = table(spark, folder, "out_links").select(F.explode(U.clean_links(F.col("links"))).alias("link"))
-    none = spark.createDataFrame([], "host string, allow array<string>, disallow array<string>")
-    return crawl.record(links, none, table(spark, folder, "frontier_urls").where("url is not null"))
+    return crawl.record(links, _robots(spark, folder), table(spark, folder, "frontier_urls").where("url is not null"), _visits(spark, folder))
 
 
 @_query(f"WITH {_FIRST_SQL} SELECT url, array_to_string(links, ' ') AS links FROM f")
@@ -304,6 +327,81 @@ def export_hash_map(spark, folder):
     return files.export_hash_map(_first_links(spark, folder))
 
 
+@_query("SELECT DISTINCT url AS value FROM out_links WHERE url IS NOT NULL")
+def export_urls(spark, folder):
+    return files.export_urls(_first_links(spark, folder))
+
+
+@_query("SELECT DISTINCT sha1(url) AS value FROM out_links WHERE url IS NOT NULL")
+def export_hashes(spark, folder):
+    return files.export_hashes(_first_links(spark, folder))
+
+
+# --- files: written as text and read back ---------------------------------------------------------------
+@_query(f"WITH {_EDGES_SQL} SELECT src, dst FROM e")
+def links_file(spark, folder):
+    path = scratch_path(spark)
+    lines = graph.adjacency(_edges(spark, folder)).select(F.concat_ws(" -> ", "src", F.array_join("neighbors", ", ")).alias("value"))
+    files.write_lines(lines, path)
+    return files.read_links(spark, path).select("src", F.explode("dsts").alias("dst"))
+
+
+@_query(r"""WITH l AS (SELECT unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS line FROM page_texts WHERE text IS NOT NULL), w AS (SELECT unnest(regexp_split_to_array(line, '[ \t,.]')) AS value FROM l)
+SELECT value, count(*) AS n FROM w GROUP BY 1""")
+def words_file(spark, folder):
+    path = scratch_path(spark)
+    files.write_lines(table(spark, folder, "page_texts").where("text is not null").select(F.col("text").alias("value")), path)
+    return files.read_words(spark, path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT sha1(node_id) AS url_hash, max(pagerank) AS pagerank FROM graph_nodes WHERE node_id IS NOT NULL GROUP BY 1 HAVING max(pagerank) IS NOT NULL")
+def pairs_file(spark, folder):
+    path = scratch_path(spark)
+    ranks = _page_ranks(spark, folder).where("pagerank is not null")
+    files.write_lines(ranks.select(F.concat_ws(" ", U.url_hash(F.col("url")), F.col("pagerank").cast("string")).alias("value")), path)
+    return files.read_pairs(spark, path, "url_hash", "pagerank", "double")
+
+
+@_query("SELECT DISTINCT word, url, weight, is_title FROM search_hits WHERE word IS NOT NULL AND url IS NOT NULL AND weight IS NOT NULL AND is_title IS NOT NULL")
+def hits_file(spark, folder):
+    path = scratch_path(spark)
+    files.write_lines(files.hit_lines(_hits(spark, folder).select("word", "url", "weight", "is_title").na.drop().distinct()), path)
+    return files.read_hits(spark, path)
+
+
+# --- pages: written as HTML and parsed back ------------------------------------------------------------------
+_SPACES = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_HTML_SQL = rf"""marked AS (SELECT DISTINCT page_id, url, elem_no, tag, css_class, text FROM page_elements),
+placed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY elem_no) AS no FROM marked),
+own AS (SELECT page_id, url, no::INT AS elem_no, coalesce(tag, 'div') AS tag, css_class, trim(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g'), ' ') AS text FROM placed WHERE NOT contains(coalesce(text, ''), chr(160)))"""
+
+
+def _parsed(spark, folder):
+    elements = table(spark, folder, "page_elements").select("page_id", "url", "elem_no", "tag", "css_class", "text").distinct()
+    link = F.when(F.col("tag") == "a", F.concat(F.lit("/to/"), F.col("css_class"), F.lit("?q=1#top")))
+    return H.own_text(H.render(elements.withColumn("href", link)))
+
+
+@_query(f"WITH {_HTML_SQL} SELECT page_id, elem_no, tag, css_class, text FROM own")
+def html_elements(spark, folder):
+    return _parsed(spark, folder).select("page_id", "elem_no", "tag", "css_class", "text")
+
+
+@_query(f"WITH {_HTML_SQL} SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/to/' || css_class AS link, count(*) AS n FROM own WHERE tag = 'a' AND css_class IS NOT NULL GROUP BY 1, 2")
+def html_links(spark, folder):
+    return H.page_links(_parsed(spark, folder)).groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT DISTINCT url, sha1(url) AS url_hash FROM page_elements WHERE url IS NOT NULL")
+def stored_pages(spark, folder):
+    """Pages stored by the hash of their URL and looked up again."""
+    path = scratch_path(spark)
+    pages = H.render(_elements(spark, folder).withColumns({"css_class": F.lit(None).cast("string"), "href": F.lit(None).cast("string")}))
+    files.write_pages(pages.where("url is not null").groupBy("url").agg(F.max("html").alias("html")), path)
+    asked = _elements(spark, folder).where("url is not null").select("url").distinct()
+    return files.pages_by_url(spark.read.parquet(path).select("url_hash", "html"), asked).where("html <> ''").select("url", "url_hash")
+
+
 # --- graph ----------------------------------------------------------------------------------------------
 @_query(f"WITH {_EDGES_SQL} SELECT src, 0 AS block, string_agg(dst, ',' ORDER BY dst) AS neighbors FROM e GROUP BY 1")
 def adjacency(spark, folder):
@@ -357,10 +455,26 @@ def pagerank_k3(spark, folder):
     return _ranked(spark, folder, 3)
 
 
-@_query("SELECT node_id AS id, printf('%.2f', max(pagerank)) AS rank_text FROM graph_nodes WHERE starts_with(node_id, 'http://portal') GROUP BY 1 HAVING max(pagerank) IS NOT NULL")
+@_query("SELECT node_id AS id, printf('%.2f', max(pagerank)) AS rank_text FROM graph_nodes WHERE node_id IN (SELECT url FROM search_hits) GROUP BY 1 HAVING max(pagerank) IS NOT NULL")
 def rank_lookup(spark, folder):
-    nodes = table(spark, folder, "graph_nodes").where("node_id like 'http://portal%'").groupBy(F.col("node_id").alias("id")).agg(F.max("pagerank").alias("rank"))
-    return nodes.where("rank is not null").select("id", F.format_string("%.2f", "rank").alias("rank_text"))
+    asked = _hits(spark, folder).select(F.col("url").alias("id")).distinct()
+    return graph.lookup(_page_ranks(spark, folder).select(F.col("url").alias("id"), F.col("pagerank").alias("rank")), asked)
+
+
+@_query(f"WITH {_REPAIRED_SQL}, deg AS (SELECT src, count(*) AS k FROM r GROUP BY 1) SELECT src AS id, dst, round(100.0 / k, 6) AS contrib FROM r JOIN deg USING (src)")
+def rank_edges(spark, folder):
+    edges = cut(graph.repair(_edges(spark, folder)))
+    lines = files.rank_edges(edges, graph.start_ranks(edges))
+    return lines.select("id", F.regexp_extract("value", "^(.*):[^:]*$", 1).alias("dst"), F.round(F.regexp_extract("value", ":([^:]*)$", 1).cast("double"), 6).alias("contrib"))
+
+
+@_query(_rank_sql(1))
+def rank_file(spark, folder):
+    """Ranks written as lines and read back."""
+    path = scratch_path(spark)
+    files.write_lines(files.rank_lines(graph.pagerank(graph.repair(_edges(spark, folder)), iterations=1)), path)
+    parts = F.split("value", " -> ")
+    return spark.read.text(path).select(parts[0].alias("id"), F.round(parts[1].cast("double"), 4).alias("rank"))
 
 
 # --- search ------------------------------------------------------------------------------------------------
@@ -407,15 +521,18 @@ def doc_invert(spark, folder):
     return inverted.select("url_hash", F.array_join(entries, ",").alias("weights"))
 
 
-_BOOST_SQL = rf"""{_HITS_SQL},
-b AS (SELECT *, coalesce(weight, 0) * CASE WHEN is_title THEN 1.5 ELSE 1 END * CASE WHEN contains(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), word) THEN 1.5 ELSE 1 END
+_BOOST_BODY = rf"""b AS (SELECT *, coalesce(weight, 0) * CASE WHEN is_title THEN 1.5 ELSE 1 END * CASE WHEN contains(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), word) THEN 1.5 ELSE 1 END
   * CASE WHEN contains(url, 'wikipedia') AND contains(lower(url), word) THEN CASE len(string_split(word, ' ')) WHEN 3 THEN 30 WHEN 2 THEN 20 ELSE 10 END ELSE 1 END AS boosted
   FROM h WHERE word IS NOT NULL AND url IS NOT NULL)"""
-_PARTS_SQL = r"[x for x in regexp_split_to_array(regexp_replace(url, '[/.]+$', ''), '(//)|(/)|(\.)') if x NOT IN ('https:', 'http:', 'com', 'edu', 'it', 'uk', 'net', 'gov', 'org', 'www')]"
-_RANKED_SQL = rf"""{_BOOST_SQL},
+_BOOST_SQL = f"{_HITS_SQL}, {_BOOST_BODY}"
+_IGNORED = ", ".join(f"'{x}'" for x in U.IGNORED_PARTS)
+_PARTS_SQL = rf"[x for x in regexp_split_to_array(regexp_replace(url, '[/.]+$', ''), '(//)|(/)|(\.)') if x NOT IN ({_IGNORED})]"
+_COUNTED_SQL = "list_concat(ws[1:1], flatten([list_append(string_split(x, ' '), x) for x in ws[2:]]))"
+_RANKED_BODY = rf"""{_BOOST_BODY},
 g AS (SELECT query_id, {_KEY_SQL} AS url_key, min(url) AS url, list(word ORDER BY word) AS ws, sum(boosted) AS w FROM b GROUP BY 1, 2),
 c AS (SELECT *, {_PARTS_SQL} AS parts FROM g),
-scored AS (SELECT query_id, url, array_to_string(ws, ',') AS words, round(w + 60.0 * CASE WHEN list_contains(parts, ws[1]) THEN 1 + 2 * (len(ws) - 1) ELSE 0 END / greatest(len(parts), 1), 11) AS score FROM c)"""
+scored AS (SELECT query_id, url, array_to_string(ws, ',') AS words, round(w + 60.0 * len([y for y in {_COUNTED_SQL} if list_contains(parts, y)]) / greatest(len(parts), 1), 11) AS score FROM c)"""
+_RANKED_SQL = f"{_HITS_SQL}, {_RANKED_BODY}"
 
 
 @_query(f"WITH {_BOOST_SQL} SELECT query_id, word, url, round(boosted, 12) AS boosted FROM b")
@@ -454,63 +571,108 @@ def union_answers(spark, folder):
     return search.union_last(first, second, ["word", "url"])
 
 
+@_query(f"""WITH {_HITS_SQL}, {_PR_SQL}, w AS (SELECT DISTINCT word, url, round(weight * coalesce(pagerank, 0.15), 12) AS weight_pg FROM h LEFT JOIN pr USING (url) WHERE word IS NOT NULL AND url IS NOT NULL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY weight_pg DESC NULLS LAST, url) AS pos FROM w) WHERE pos <= 10""")
+def word_topk_pg(spark, folder):
+    hits = _hits(spark, folder).where("word is not null and url is not null")
+    rows = search.with_pagerank(hits, _page_ranks(spark, folder), "url").select("word", "url", "weight_pg").distinct()
+    return index.top_per_word(rows, "weight_pg", doc="url")
+
+
+#: Two searches over the pages of ``page_elements``: words, stop words, punctuation, and a title's n-gram.
+_SEARCHES = ("Which library near the remote museum asked about a crowded lagoon?", "the generous compass of the shallow bridge")
+_INDEX_SQL = f"""{_TERMS}, {_PR_SQL},
+pages AS (SELECT page_id, max(url) AS url FROM elements WHERE url IS NOT NULL GROUP BY 1),
+tf AS (SELECT page_id, term AS word, is_title, round(n / greatest(max(n) OVER (PARTITION BY page_id), 1), 5) AS tf FROM terms),
+idf AS (SELECT word, round(log10((SELECT count(DISTINCT page_id) FROM tf)::DOUBLE / count(DISTINCT page_id)), 6) AS idf FROM tf GROUP BY 1),
+postings_pg AS (SELECT word, pages.url, is_title, round(round(tf * idf, 9) * coalesce(pagerank, 0.15), 12) AS weight FROM tf JOIN idf USING (word) JOIN pages USING (page_id) LEFT JOIN pr USING (url))"""
+
+
+def _search_sql(query: str) -> str:
+    """The results of a search: its n-grams that the dictionary holds and its words, ranked."""
+    words = T.query_terms(query, lambda grams: set(grams))  # candidates; the semi join with the index leaves the known ones
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"""{_INDEX_SQL}, h AS (SELECT 0 AS query_id, * FROM postings_pg WHERE word IN ({listed})), {_RANKED_BODY},
+results AS (SELECT url, words, score, row_number() OVER (ORDER BY score DESC, url) AS pos FROM scored)"""
+
+
+def _engine(spark, folder) -> engine.SearchIndex:
+    elements = cut(_elements(spark, folder))
+    words = index.tokenised(elements)
+    return engine.build_index(elements, _page_ranks(spark, folder), {n: _dictionary(words, n) for n in (2, 3)}, words=words)
+
+
+@_query(f"WITH {_INDEX_SQL} SELECT sha1(url) AS url_hash, word, is_title, weight AS weight_pg FROM postings_pg")
+def index_build(spark, folder):
+    return _engine(spark, folder).postings.select("url_hash", "word", "is_title", "weight_pg")
+
+
+@_query(f"WITH {_search_sql(_SEARCHES[0])} SELECT * FROM results WHERE pos <= 25")
+def search_string(spark, folder):
+    """Through an index written to and read back from a folder."""
+    path = scratch_path(spark)
+    _engine(spark, folder).save(path)
+    return engine.search(engine.SearchIndex.load(spark, path), _SEARCHES[0], size=25, snippets=False)
+
+
+_TITLE_SQL = """t AS (SELECT page_id, max(url) AS url, string_agg(' ' || trim(text, ' '), '' ORDER BY elem_no) FILTER (WHERE tag = 'title') AS t FROM elements GROUP BY 1),
+f AS (SELECT page_id, coalesce(t, regexp_replace(url, 'https://', '')) AS t FROM t), titles AS (SELECT page_id, CASE WHEN length(t) > 80 THEN t[:80] || '...' ELSE t END AS title FROM f)"""
+_DESCRIPTION_SQL = """x AS (SELECT page_id, elem_no, trim(coalesce(text, ''), ' ') AS t FROM elements),
+cum AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY page_id ORDER BY elem_no, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
+d AS (SELECT page_id, string_agg(' ' || t, '' ORDER BY elem_no, t) FILTER (WHERE before <= 300) AS s, bool_or(before > 300) AS over FROM cum GROUP BY 1),
+described AS (SELECT page_id, CASE WHEN over THEN s[:300] || '...' ELSE s END AS description FROM d)"""
+
+
+@_query(f"WITH {_search_sql(_SEARCHES[1])}, {_TITLE_SQL}, {_DESCRIPTION_SQL} SELECT pos, url, words, score, title, description FROM results JOIN pages USING (url) JOIN titles USING (page_id) JOIN described USING (page_id) WHERE pos > 5 AND pos <= 15")
+def results_with_snippets(spark, folder):
+    return engine.search(_engine(spark, folder), _SEARCHES[1], start=5, size=10)
+
+
 @_query("SELECT DISTINCT word FROM postings WHERE upper(word) LIKE 'SE%'")
 def autocomplete(spark, folder):
     return search.complete(table(spark, folder, "postings"), "Se")
 
 
-@_query(
-    rf"""WITH {_ELEMENTS_SQL}, t AS (SELECT page_id, max(url) AS url, string_agg(' ' || trim(text, ' '), '' ORDER BY elem_no) FILTER (WHERE tag = 'title') AS t FROM elements GROUP BY 1),
-f AS (SELECT page_id, coalesce(t, regexp_replace(url, 'https://', '')) AS t FROM t) SELECT page_id, CASE WHEN length(t) > 80 THEN t[:80] || '...' ELSE t END AS title FROM f"""
-)
+@_query(f"WITH {_ELEMENTS_SQL}, {_TITLE_SQL} SELECT page_id, title FROM titles")
 def snippet_title(spark, folder):
     return H.snippet_title(_elements(spark, folder))
 
 
-@_query(
-    rf"""WITH {_ELEMENTS_SQL}, x AS (SELECT page_id, elem_no, trim(coalesce(text, ''), ' ') AS t FROM elements),
-c AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY page_id ORDER BY elem_no, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
-d AS (SELECT page_id, string_agg(' ' || t, '' ORDER BY elem_no, t) FILTER (WHERE before <= 300) AS s, bool_or(before > 300) AS over FROM c GROUP BY 1)
-SELECT page_id, CASE WHEN over THEN s[:300] || '...' ELSE s END AS description FROM d"""
-)
+@_query(f"WITH {_ELEMENTS_SQL}, {_DESCRIPTION_SQL} SELECT page_id, description FROM described")
 def snippet_desc(spark, folder):
     return H.snippet_description(_elements(spark, folder))
 
 
 # --- crawl --------------------------------------------------------------------------------------------------
-_ROBOTS_SQL = r"""
-docs AS (SELECT regexp_extract(text, '^Crawl rules of (\S+)', 1) AS host, max(text) AS text FROM documents WHERE text LIKE 'Crawl rules of %' GROUP BY 1),
-l AS (SELECT host, i, lower(string_split(text, chr(10))[i]) AS line FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs)),
-s AS (SELECT host, min(i) AS a FROM l WHERE line IN ('user-agent: *', 'user-agent: crawler') GROUP BY 1),
-z AS (SELECT l.host, min(i) AS b FROM l JOIN s USING (host) WHERE i > a AND starts_with(line, 'user-agent') GROUP BY 1),
-r AS (SELECT l.* FROM l JOIN s USING (host) LEFT JOIN z USING (host) WHERE i > a AND (b IS NULL OR i < b)),
-robots AS (SELECT docs.host, coalesce(list(line[8:] ORDER BY i) FILTER (WHERE starts_with(line, 'allow: ')), []) AS allow, coalesce(list(line[11:] ORDER BY i) FILTER (WHERE starts_with(line, 'disallow: ')), []) AS disallow,
-  coalesce(arg_max(TRY_CAST(trim(line[14:]) AS INT), i) FILTER (WHERE starts_with(line, 'crawl-delay')), 0)::INT AS crawl_delay FROM docs LEFT JOIN r USING (host) GROUP BY 1)"""
-
-
 @_query(f"WITH {_ROBOTS_SQL} SELECT host, array_to_string(allow, ',') AS allow, array_to_string(disallow, ',') AS disallow, crawl_delay FROM robots")
 def robots_rules(spark, folder):
     return _robots(spark, folder).select("host", F.array_join("allow", ",").alias("allow"), F.array_join("disallow", ",").alias("disallow"), "crawl_delay")
 
 
 @_query(
-    rf"""WITH {_ROBOTS_SQL}, u AS (SELECT DISTINCT host, unnest([rule, rule || 'x', '/a' || rule || 'b']) AS path FROM (SELECT host, unnest(list_concat(allow, disallow)) AS rule FROM robots))
-SELECT 'http://' || u.host || path AS url, CASE WHEN contains(u.host, 'wiki') THEN false
-  WHEN len([x for x in allow if CASE WHEN x LIKE '%/' THEN contains(path, x) AND path <> x ELSE path = x END]) > 0 THEN true
-  WHEN len([x for x in disallow if CASE WHEN x LIKE '%/' THEN contains(path, x) AND path <> x ELSE path = x END]) > 0 THEN false ELSE true END AS allowed FROM u JOIN robots USING (host)"""
+    rf"""WITH {_ROBOTS_SQL}, asked AS (SELECT DISTINCT 'http://' || host || unnest([rule, rule || 'x', '/a' || rule || 'b']) AS url FROM (SELECT host, unnest(list_concat(allow, disallow)) AS rule FROM robots)
+  UNION SELECT trim(url, ' ') FROM frontier_urls WHERE url IS NOT NULL), {_CHECKED_SQL} SELECT url, allowed FROM checked"""
 )
 def robots_check(spark, folder):
+    """All queued URLs, and three made from each rule, under rules and host caps."""
     robots = _robots(spark, folder)
     rules = robots.select("host", F.explode(F.concat("allow", "disallow")).alias("rule"))
     paths = rules.select("host", F.explode(F.array(F.col("rule"), F.concat("rule", F.lit("x")), F.concat(F.lit("/a"), "rule", F.lit("b")))).alias("path"))
-    return crawl.check_robots(paths.select(F.concat(F.lit("http://"), "host", "path").alias("url")), robots)
+    asked = paths.select(F.concat(F.lit("http://"), "host", "path").alias("url")).unionByName(_urls(spark, folder))
+    return crawl.check_robots(asked, robots, _visits(spark, folder))
 
 
-@_query()
+@_query(
+    """WITH RECURSIVE d AS (SELECT host, max(depth)::BIGINT * 600000000 AS delay FROM frontier_urls WHERE host IS NOT NULL GROUP BY 1),
+a AS (SELECT host, epoch_us(enqueued_at) AS t, count(*) AS n, coalesce(delay, 0) AS delay FROM frontier_urls LEFT JOIN d USING (host) WHERE enqueued_at IS NOT NULL GROUP BY 1, 2, 4),
+acc AS (SELECT host, min(t) AS t FROM a WHERE delay > 0 AND host IS NOT NULL GROUP BY 1
+  UNION ALL SELECT a.host, min(a.t) AS t FROM acc JOIN a ON a.host = acc.host AND a.t >= acc.t + a.delay GROUP BY a.host)
+SELECT host, make_timestamp(a.t) AS ts, n, host IS NULL OR delay = 0 OR acc.t IS NOT NULL AS accepted FROM a LEFT JOIN acc USING (host, t)"""
+)
 def crawl_delay(spark, folder):
     attempts = table(spark, folder, "frontier_urls").select("host", F.col("enqueued_at").alias("ts"))
     delays = table(spark, folder, "frontier_urls").where("host is not null").groupBy("host").agg((F.max("depth") * 600).alias("crawl_delay"))
-    return crawl.crawl_delay(attempts, delays)
+    return crawl.crawl_delay(attempts, delays).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @_query("SELECT host, frontier_seq, visit FROM (SELECT host, frontier_seq, row_number() OVER (PARTITION BY host ORDER BY frontier_seq) AS visit FROM frontier_urls) WHERE visit <= 101")
@@ -542,12 +704,16 @@ def frontier_poll(spark, folder):
 
 
 @_query(
-    """WITH h AS (SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, max(recorded_at) AS t FROM out_links WHERE regexp_matches(url, '^https?://[^/ ]') GROUP BY 1)
-SELECT frontier_seq, NOT coalesce(t + INTERVAL 36000 SECOND > TIMESTAMPTZ '2022-01-01 00:00:00+00', false) AS ready FROM frontier_urls LEFT JOIN h USING (host)"""
+    """WITH h AS (SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, max(recorded_at) AS t FROM out_links WHERE regexp_matches(url, '^https?://[^/ ]') GROUP BY 1),
+d AS (SELECT host, max(depth) * 36000 AS s FROM frontier_urls WHERE host IS NOT NULL GROUP BY 1),
+k AS (SELECT host, t, coalesce(s, 0) AS s FROM h LEFT JOIN d USING (host))
+SELECT frontier_seq, NOT coalesce(s > 0 AND t + to_seconds(s) > TIMESTAMPTZ '2022-01-01 00:00:00+00', false) AS ready FROM frontier_urls LEFT JOIN k USING (host)"""
 )
 def frontier_ready(spark, folder):
     urls = table(spark, folder, "out_links").where(F.regexp_like("url", F.lit("^https?://[^/ ]")))
-    hosts = urls.groupBy(F.substring_index(F.substring_index("url", "/", 3), "/", -1).alias("host")).agg(F.max("recorded_at").alias("last_visited")).withColumn("crawl_delay", F.lit(36000))
+    last = urls.groupBy(F.substring_index(F.substring_index("url", "/", 3), "/", -1).alias("host")).agg(F.max("recorded_at").alias("last_visited"))
+    delays = table(spark, folder, "frontier_urls").where("host is not null").groupBy("host").agg((F.max("depth") * 36000).alias("crawl_delay"))
+    hosts = last.join(delays, "host", "left").na.fill(0, ["crawl_delay"])
     return crawl.ready(table(spark, folder, "frontier_urls"), hosts, F.to_timestamp(F.lit("2022-01-01 00:00:00"))).select("frontier_seq", "ready")
 
 

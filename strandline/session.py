@@ -81,6 +81,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed like the tables of ``cut``."""
+    path = f"{shared_folder(spark)}/strandline-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and go on from there. Runs at once.
 
@@ -88,9 +95,8 @@ def cut(df: DataFrame) -> DataFrame:
     planner; ``release``, the end of a ``scratch`` block or of the process removes it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strandline-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    _WRITTEN[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -109,7 +109,9 @@ def write_pages(pages: DataFrame, path: str) -> None:
 
 def write_index(postings: DataFrame, path: str) -> None:
     """Postings by shard and sorted by word, so that a word's look-up skips other shards and row groups."""
-    postings.withColumn("shard", shard(F.col("word"))).repartition("shard", F.substr("word", F.lit(1), F.lit(2))).sortWithinPartitions("shard", "word").write.mode("overwrite").partitionBy("shard").parquet(path)
+    sharded = postings.withColumn("shard", shard(F.col("word")))
+    spread = F.pmod(F.xxhash64("word", "url_hash"), F.lit(4))  # a hot prefix is several files
+    sharded.repartition("shard", F.substr("word", F.lit(1), F.lit(2)), spread).sortWithinPartitions("shard", "word").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strandline.session import ship
+from strandline.session import cut, ship
 
 #: The words of the endless random source.
 RANDOM_WORDS = ("The", "quick", "brown", "fox", "jumps", "over", "dog")
@@ -67,6 +68,29 @@ def polite(attempts: DataFrame, delay_seconds: float, late: str = "10 seconds")
     return keyed.applyInPandasWithState(step, "host string, ts timestamp, accepted boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def frontier_rounds(found: DataFrame, sink: str, allow: Column) -> DataFrame:
-    """The crawl's loop as a stream: links ``url, ts`` that pass ``allow``, each once within a day."""
-    return found.where(allow).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["url"]).select("url", "ts", F.lit(sink).alias("queue"))
+def crawl_stream(spark: SparkSession, frontier: str, links_of: Callable[[DataFrame], DataFrame], allow: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+    """The crawl's loop as a stream over a folder: URLs (``url``) that arrive in ``frontier`` are visited, and what they link to goes back into it.
+
+    Each micro-batch reads the files that came since the last one, keeps those of its URLs it hasn't visited,
+    writes them to ``<frontier>/../visited`` and their allowed, unvisited links as new files of ``frontier``, which
+    the stream reads next. It rests when nothing new is found. Both folders must be shared; a batch
+    that is done again after a failure overwrites its own part, so each URL is visited once however long ago it was seen.
+    """
+    folder = frontier.rstrip("/").rsplit("/", 1)[0]
+    visited = f"{folder}/visited"
+
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        old = session.read.schema("url string, round long").parquet(f"{visited}/round=*") if number else None
+        new = batch.select("url").where("url is not null").distinct()
+        new = new.join(old.where(F.col("round") < number).select("url"), "url", "left_anti") if old is not None else new
+        new.withColumn("round", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{visited}/round={number}")
+        done = session.read.schema("url string, round long").parquet(f"{visited}/round=*").where(F.col("round") <= number)
+        now = done.where(F.col("round") == number).select("url")
+        found = allow(links_of(now).select(F.col("link").alias("url")).distinct().join(done.select("url"), "url", "left_anti"))
+        rows = cut(found.select("url").distinct())
+        if not rows.isEmpty():
+            rows.write.mode("overwrite").parquet(f"{frontier}/batch-{number}")
+
+    stream = spark.readStream.schema("url string").option("recursiveFileLookup", "true").parquet(frontier)
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
