@@ -13,8 +13,10 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 LINKS = ("a", "button", "nav", "form", "input", "option", "select", "label")
 #: Elements that pages use for content alone, short and alike as their texts may be.
 CONTENT = ("td", "th", "figcaption", "blockquote", "pre", "dd", "dt")
-_SPACE = r"[\s\x{85}\x{a0}\x{2000}-\x{200b}\x{3000}]+"
-_NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+_WIDE = r"\t-\r\x{85}\x{a0}\x{2000}-\x{200b}\x{3000}"
+#: White space that isn't a single space already.
+_SPACE = rf"(?![!-~])(?:[ {_WIDE}]{{2,}}|[{_WIDE}])"
+_NUMBER = r"[0-9](?:[0-9]|[.,](?=[0-9]))*"
 _NAME_INSIDE = r"(?<=\S )\p{Lu}[\p{L}\p{M}’'-]*"
 
 
@@ -35,7 +37,7 @@ def _features(elements: DataFrame) -> DataFrame:
     plain = F.regexp_replace(F.when(F.length(name) > 2, F.replace("text", name, F.lit("§"))).otherwise(F.col("text")), _NUMBER, "0")
     heading = F.coalesce(F.col("tag").isin(*HEADINGS), F.lit(False))
     template = F.lower(F.when(heading, plain).otherwise(F.regexp_replace(plain, _NAME_INSIDE, "¤")))
-    label = F.regexp_extract("text", r"^([^\s:]+(?: [^\s:]+){0,3}): ", 1)
+    label = F.when(F.contains("text", F.lit(": ")), F.regexp_extract("text", r"^([^\s:]++(?: [^\s:]++){0,3}): ", 1)).otherwise("")
     return rows.select(
         "page_id", "elem_no", "tag", heading.alias("heading"), F.xxhash64("class").alias("class"), F.xxhash64("host").alias("host"), F.xxhash64("text").alias("text_h"),
         F.xxhash64(template).alias("template"), F.when(label != "", F.xxhash64(label)).alias("label"), F.length("text").alias("n_chars"), F.when(F.col("tag") == "title", F.col("text")).alias("title"),
@@ -58,9 +60,16 @@ def _page_heads(rows: DataFrame) -> DataFrame:
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_rows")).join(heads, "page_id", "left")
 
 
+#: Facts of up to so many rows - a few numbers each, so 32 MB at most - are broadcast; larger tables are joined on salted keys.
+BROADCAST_ROWS = 400_000
+
+
 def _looked_up(rows: DataFrame, facts: DataFrame, key: str, total: int, spread: list[str] = ["page_id", "elem_no"]) -> DataFrame:
-    """``rows`` left joined with ``facts`` (one row per ``key``, ``n_rows`` of it), hot keys salted."""
-    left, right = salted(rows, facts, key, spread, total=total)
+    """``rows`` left joined with ``facts`` (one row per ``key``, ``n_rows`` of it), which are written and counted first; hot keys are salted."""
+    stored = cut(facts)
+    if stored.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(stored.drop("n_rows")), key, "left")
+    left, right = salted(rows, stored, key, spread, total=total)
     return left.join(right.drop("n_rows"), [key, "_salt"], "left").drop("_salt")
 
 
@@ -104,7 +113,7 @@ def main_elements(elements: DataFrame, *, least_pages: int = 3, host_share: floa
     # a bare number without a tag may be a cell or a page number: its class tells, its template doesn't
     by_class = F.xxhash64("host", "class", F.lit("class"))
     classes = rows.where(F.col("class") != F.xxhash64(F.lit(""))).groupBy("host", "class").agg(F.mode("tag", True).alias("usual"), F.sum(F.col("bare").cast("long")).alias("n_rows")).where("n_rows > 0")
-    facts = cut(facts.unionByName(classes.select(by_class.alias("_k"), F.lit(False).alias("common"), "usual", "n_rows")))
+    facts = facts.unionByName(classes.select(by_class.alias("_k"), F.lit(False).alias("common"), "usual", "n_rows"))
     key = F.when(F.col("bare"), by_class).otherwise(F.xxhash64("host", "template"))
     known = _looked_up(rows.withColumn("_k", key).drop("text_h", "title", "heading", "bare"), facts, "_k", total).drop("_k")
     known = known.withColumn("tag", F.coalesce("tag", "usual", F.lit(""))).drop("usual")
@@ -119,8 +128,8 @@ def main_elements(elements: DataFrame, *, least_pages: int = 3, host_share: floa
     ends = after.groupBy("template").agg(F.avg((F.col("elem_no") < F.coalesce("last_strong", F.lit(-1))).cast("double")).alias("resumed"), F.count(F.lit(1)).alias("n_rows"))
     stops = _looked_up(after.drop("last_strong"), ends, "template", total).where(F.col("resumed") < resumes).groupBy("page_id").agg(F.min("elem_no").alias("stop"), F.count(F.lit(1)).alias("n_rows"))
     labels = known.where(link & F.col("label").isNotNull()).groupBy("label").agg(F.count_distinct("page_id").alias("n"), F.count(F.lit(1)).alias("n_rows"))
-    labels = cut(labels.where(F.col("n") >= least_pages).select("label", "n_rows", F.lit(True).alias("leads_away")))
-    judged = _looked_up(_looked_up(known, cut(stops), "page_id", total), labels, "label", total)
+    labels = labels.where(F.col("n") >= least_pages).select("label", "n_rows", F.lit(True).alias("leads_away"))
+    judged = _looked_up(_looked_up(known, stops, "page_id", total), labels, "label", total)
     inside = (F.col("elem_no") >= F.col("head")) & (F.col("elem_no") < F.coalesce("stop", F.lit(2**31 - 1)))
     inside = inside & (F.col("tag") != "title") & F.col("leads_away").isNull() & ~link
     own = F.col("elem_no") == F.col("head")
@@ -129,7 +138,7 @@ def main_elements(elements: DataFrame, *, least_pages: int = 3, host_share: floa
     # containers' scores, the host's vote on their paths, extraction with the winners
     containers = judged.where("not title").groupBy("path", "page_id").agg(F.sum(F.when(F.col("inside"), F.col("mass")).otherwise(0)).alias("good"), F.sum("mass").alias("all"), F.count(F.lit(1)).alias("n"))
     votes = containers.groupBy("path").agg(F.sum("good").alias("good"), F.sum("all").alias("all"), F.sum("n").alias("n_rows"))
-    winners = cut(votes.where((F.col("good") > 0) & (F.col("good") >= wins * F.col("all"))).select("path", "n_rows", F.lit(True).alias("won")))
+    winners = votes.where((F.col("good") > 0) & (F.col("good") >= wins * F.col("all"))).select("path", "n_rows", F.lit(True).alias("won"))
     return _looked_up(judged.where("inside and mass > 0"), winners, "path", total).where("won").select("page_id", "elem_no")
 
 

@@ -45,6 +45,12 @@ def test_main_elements(spark):
     assert maincontent.main_elements(spark.createDataFrame([], ELEMENTS)).count() == 0
 
 
+def test_main_elements_without_broadcasts(spark, monkeypatch):
+    rows, body = site()
+    monkeypatch.setattr(maincontent, "BROADCAST_ROWS", -1)
+    assert {tuple(r) for r in maincontent.main_elements(spark.createDataFrame(rows, ELEMENTS)).collect()} == body
+
+
 def test_main_elements_without_tags(spark):
     rows, body = site()
     rows = [(p, u, n, None if p == 5 and t in ("title", "h1") else t, c, x, y) for p, u, n, t, c, x, y in rows]
