@@ -10,6 +10,7 @@ maximisation against the bigrams of the other sources.
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
 import unicodedata
@@ -595,10 +596,16 @@ def learn_cipher(pair: np.ndarray, times: np.ndarray, model: Bigrams, *, least_g
     return best[1] if best else None
 
 
+@cache
+def _listed() -> frozenset[tuple[str, ...]]:
+    return frozenset(tuple(codecs.lookup(page).name for page in key) for key in PAGES_READ_AS)
+
+
 def _ciphers_of(shared):
     def run(counted: pd.DataFrame) -> pd.DataFrame:
         key = learn_cipher(counted["pair"].to_numpy(), counted["n"].to_numpy(), shared.value)
-        rows = [(counted["source"].iloc[0], f"{key[1]}>{key[0]}")] if key else []
+        new = key is not None and tuple(codecs.lookup(page).name for page in key) not in _listed()  # listed keys have been weighed
+        rows = [(counted["source"].iloc[0], f"{key[1]}>{key[0]}")] if new else []
         return pd.DataFrame(rows, columns=["source", "key"])
 
     return run

@@ -21,7 +21,22 @@ _NAME_INSIDE = r"(?<=\S )\p{Lu}[\p{L}\p{M}’'-]*"
 
 
 def _host(url: Column) -> Column:
-    return F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1)
+    """The host of a URL; usual ones are cut without a pattern."""
+    low = F.lower(url)
+    start = F.when(F.startswith(low, F.lit("http://")), 8).when(F.startswith(low, F.lit("https://")), 9)
+    plain = F.substr(low, start, F.length(low))
+    for end in "/?#":
+        plain = F.substring_index(plain, end, 1)
+    return F.when(start.isNotNull(), plain).otherwise(F.regexp_extract(low, r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1))
+
+
+def _spaced(text: Column) -> Column:
+    """Trimmed text, each run of white space one space; the pattern is spared where plain look-ups find nothing for it."""
+    inner = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    odd = F.octet_length(inner) > F.length(inner)
+    for run in ("  ", "\t", "\n", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(inner, F.lit(run))
+    return F.when(odd, F.trim(F.regexp_replace(inner, _SPACE, " "))).otherwise(inner)
 
 
 def _features(elements: DataFrame) -> DataFrame:
@@ -31,9 +46,9 @@ def _features(elements: DataFrame) -> DataFrame:
     """
     rows = elements.where("page_id is not null and elem_no is not null").select("page_id", "elem_no", F.struct("text", "tag", "css_class", "url").alias("e"))
     rows = rows.groupBy("page_id", "elem_no").agg(F.max("e").alias("e")).select("page_id", "elem_no", "e.*")
-    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _SPACE, " "))
+    text = _spaced(F.coalesce("text", F.lit("")))
     rows = rows.select("page_id", "elem_no", F.coalesce(F.lower("tag"), F.when(F.col("elem_no") == 1, "title")).alias("tag"), F.coalesce(F.regexp_replace(F.lower("css_class"), "[0-9]+", "0"), F.lit("")).alias("class"), _host(F.coalesce("url", F.lit(""))).alias("host"), text.alias("text")).where("text <> ''")
-    name = F.initcap(F.element_at(F.split(F.regexp_replace("host", r"^www\.", ""), r"\."), 1))
+    name = F.initcap(F.substring_index(F.when(F.startswith("host", F.lit("www.")), F.substr("host", F.lit(5), F.length("host"))).otherwise(F.col("host")), ".", 1))
     plain = F.regexp_replace(F.when(F.length(name) > 2, F.replace("text", name, F.lit("§"))).otherwise(F.col("text")), _NUMBER, "0")
     heading = F.coalesce(F.col("tag").isin(*HEADINGS), F.lit(False))
     template = F.lower(F.when(heading, plain).otherwise(F.regexp_replace(plain, _NAME_INSIDE, "¤")))
