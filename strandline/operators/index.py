@@ -104,7 +104,11 @@ def bucket(word: Column) -> Column:
     return F.when(first < 97, 0).otherwise(first - 96).cast("int")
 
 
-def shard(word: Column, bounds: tuple[int, ...] = (3, 9, 15, 20, 26)) -> Column:
+#: The last bucket of each worker's shard.
+SHARD_BOUNDS = (3, 9, 15, 20, 26)
+
+
+def shard(word: Column, bounds: tuple[int, ...] = SHARD_BOUNDS) -> Column:
     """The worker that owns a word, by the upper ``bounds`` of its bucket; -1 beyond the last."""
     b = bucket(word)
     out = F.lit(-1)

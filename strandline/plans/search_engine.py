@@ -506,7 +506,7 @@ def _matching(spark, folder, words):
 
 @_query(f"WITH {_SCORE_SQL.format(_AND_WORDS)} SELECT url_hash, s AS score FROM d WHERE n = 3")
 def search_and(spark, folder):
-    return search.all_terms(_matching(spark, folder, _AND_WORDS), 3)
+    return search.all_terms(search.lookup(_postings(spark, folder), list(_AND_WORDS)), 3)
 
 
 @_query(f"WITH {_SCORE_SQL.format(_TIER_WORDS)} SELECT url_hash, CASE WHEN n = 3 THEN 1 ELSE 2 END AS tier, s AS rank FROM d WHERE n = 3 OR (SELECT count(*) FROM d WHERE n = 3) < 50")
@@ -521,6 +521,7 @@ def doc_invert(spark, folder):
     return inverted.select("url_hash", F.array_join(entries, ",").alias("weights"))
 
 
+#: The boosts an SQL twin has to state again.
 _BOOST_BODY = rf"""b AS (SELECT *, coalesce(weight, 0) * CASE WHEN is_title THEN 1.5 ELSE 1 END * CASE WHEN contains(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), word) THEN 1.5 ELSE 1 END
   * CASE WHEN contains(url, 'wikipedia') AND contains(lower(url), word) THEN CASE len(string_split(word, ' ')) WHEN 3 THEN 30 WHEN 2 THEN 20 ELSE 10 END ELSE 1 END AS boosted
   FROM h WHERE word IS NOT NULL AND url IS NOT NULL)"""
