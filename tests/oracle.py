@@ -7,6 +7,7 @@ from functools import cache
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -22,7 +23,7 @@ def views() -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value) -> str:
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "null"
     if isinstance(value, float):
         return repr(round(value, 9))
