@@ -159,7 +159,8 @@ def summaries(texts: DataFrame, least: int, *, k: int = 1 << 20, bits: int | Non
     page fetched twice): the second pass is exact.
     """
     spark = texts.sparkSession
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # steers the number of slices only
+    # steers the number of slices only; a plan without statistics counts as 64 kB a text
+    size = min(int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), texts.count() << 16)
     if bits is None:
         bits = min(31, max(2, math.ceil(math.log2(max(2 * parallelism(spark), size / (8 * k))))))
     hashed = _lines(texts).select(F.xxhash64("site", "key").alias("h"))
