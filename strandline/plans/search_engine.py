@@ -240,14 +240,14 @@ def shard_assign(spark, folder):
 
 
 @_query(f"""WITH {_SHARD_SQL}, o AS (SELECT shard, count(*) AS n_words FROM s GROUP BY 1), last AS (SELECT user_id, max(ts) AS t FROM events GROUP BY 1),
-live AS (SELECT DISTINCT user_id % 5 AS w FROM last WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(t) <= 3600000000)
-SELECT shard, CASE WHEN shard IN (SELECT w FROM live) THEN shard WHEN (shard + 6) % 5 IN (SELECT w FROM live) THEN (shard + 6) % 5 END::INT AS owner, n_words FROM o""")
+live AS (SELECT DISTINCT user_id % 5 AS w FROM last WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(t) <= 600000000)
+SELECT shard, CASE WHEN shard IN (SELECT w FROM live) THEN shard WHEN (shard + 6) % 5 IN (SELECT w FROM live) THEN (shard + 6) % 5 ELSE -1 END::INT AS owner, n_words FROM o""")
 def failover_owner(spark, folder):
-    """Five workers, those alive of whom a check-in came within the last hour of the events."""
+    """Five workers, those alive of whom a check-in came within the last ten minutes of the events; -1 for a shard whose worker and stand-in are both gone."""
     words = shard_assign(spark, folder).groupBy("shard").agg(F.count(F.lit(1)).alias("n_words"))
     events = table(spark, folder, "events").select((F.col("user_id") % 5).alias("worker"), F.col("ts").cast("timestamp").alias("ts"))
-    alive = crawl.live_workers(events, events.agg(F.max("ts")).scalar(), 3600)
-    return words.join(index.shard_owner(words, alive, 5), "shard")
+    alive = crawl.live_workers(events, events.agg(F.max("ts")).scalar(), 600)
+    return words.join(index.shard_owner(words, alive, 5), "shard").withColumn("owner", F.coalesce("owner", F.lit(-1)))
 
 
 # --- URLs and links -----------------------------------------------------------------------------------
